@@ -120,7 +120,9 @@ def segments_cross(a, b, c, d) -> Column:
 def screen_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Arrow angle on a map drawn with y downwards."""
     k = F.lit(M_PER_DEG_LON_EQUATOR)
-    return F.degrees(F.atan2(-((lat2 - lat1) * k), (lon2 - lon1) * k))
+    dx, dy = (lon2 - lon1) * k, (lat2 - lat1) * k
+    # due west is -180: the sign of a zero is lost inside atan2
+    return F.when((dy == 0) & (dx < 0), -180.0).otherwise(F.degrees(F.atan2(-dy, dx)))
 
 
 def pose_error(rotation: Column) -> Column:
