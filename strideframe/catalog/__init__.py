@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("edges", "paths")
+FAMILIES = ("edges", "paths", "nearby")
 
 
 def _modules():

@@ -168,6 +168,7 @@ def _h(*parts: str) -> str:
     return f"(CAST(('0x' || substr(sha256({text}), 1, 8)) AS BIGINT) / {D(4294967296.0)})"
 
 
+_MEAN = "COALESCE(SUM(CAST(round_even(sc.rfs * 1000000, 0) AS BIGINT)) / (COUNT(sc.rfs) * CAST(1000000 AS DOUBLE)), 0)"
 _RIVER = "((i + ni) / 2 BETWEEN 8 AND 14)"
 _HILL = "((i + ni) / 2 > 42 AND (j + nj) / 2 > 42)"
 _four = ", ".join(f"{r(weight(t == 'n', h == 'h'))} AS w_{t}{h}" for t in "dn" for h in "fh")
@@ -198,8 +199,8 @@ ORACLES = {
     "citywide_sample": sql(f"WITH sc AS (SELECT u, v, {r(rfs())} AS rfs FROM edge_scored) SELECT u, v, rfs, ROW_NUMBER() OVER (ORDER BY rfs, u, v) - 1 AS position FROM sc"),
     "sanity_report": sql(f"""WITH sc AS MATERIALIZED (SELECT *, {r(rfs())} AS rfs FROM edge_scored),
       q AS (SELECT rfs AS q80 FROM (SELECT rfs, ROW_NUMBER() OVER (ORDER BY rfs) - 1 AS p, COUNT(*) OVER () AS n FROM sc) WHERE p = n * 4 // 5)
-      SELECT spot_id, CAST(COUNT(sc.u) AS BIGINT) AS n_edges, {r('COALESCE(AVG(sc.rfs), 0)')} AS mean_rfs, {r('MAX(q80)')} AS q80,
-        CASE WHEN {r('COALESCE(AVG(sc.rfs), 0)')} >= {r(f'MAX(q80) * {D(0.9)}')} THEN 'PASS' ELSE 'CHECK' END AS verdict
+      SELECT spot_id, CAST(COUNT(sc.u) AS BIGINT) AS n_edges, {r(_MEAN)} AS mean_rfs, {r('MAX(q80)')} AS q80,
+        CASE WHEN {r(_MEAN)} >= {r(f'MAX(q80) * {D(0.9)}')} THEN 'PASS' ELSE 'CHECK' END AS verdict
       FROM (SELECT poly_id AS spot_id, lat, lon FROM green_polygon_vertex WHERE seq = 0) s CROSS JOIN q
       LEFT JOIN sc ON abs(sc.u_lat - s.lat) < 0.009 AND abs(sc.u_lon - s.lon) < 0.011 GROUP BY spot_id"""),
     "facility_counts": sql("SELECT COALESCE(CASE WHEN point_id % 10 = 0 THEN NULL ELSE facility_type END, 'unknown') AS type, COUNT(*) AS n FROM point_feature WHERE kind = 'facility' GROUP BY 1"),
