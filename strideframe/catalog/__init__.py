@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("edges", "paths", "nearby")
+FAMILIES = ("edges", "paths", "nearby", "requests", "graphs")
 
 
 def _modules():
