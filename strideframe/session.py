@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -24,18 +24,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def cut_counted(df: DataFrame, flag: str) -> tuple[DataFrame, int]:
-    """cut(df) plus the number of rows whose boolean column `flag` is true, in the same pass."""
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    out = cut(df.observe(seen, F.count_if(F.col(flag)).alias("n")))
-    return out, int(seen.get["n"] or 0)
+    """df as a table written once in the shared checkpoint folder.
+
+    The lineage ends there, a lost executor costs no recomputation, and the next
+    plan sees the table's true size. (checkpoint() carries the size estimates of
+    the plan it replaces, which multiply from round to round in a loop.)
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/strideframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def any_row(df: DataFrame) -> bool:
