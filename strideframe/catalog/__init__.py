@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("edges", "paths", "nearby", "requests", "graphs", "plans", "streams")
+FAMILIES = ("edges", "paths", "nearby", "requests", "layers", "graphs", "plans", "streams")
 
 
 def _modules():

@@ -162,79 +162,106 @@ def _meridian_arc(lat_rad: float, a: float, e2: float) -> float:
                 - c6 * math.sin(6 * lat_rad))
 
 
-def transverse_mercator_inverse(x: Column, y: Column, plane: dict) -> tuple[Column, Column]:
-    """(lat, lon) on the plane's own ellipsoid, by the classic series in the footpoint latitude."""
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once.
+
+    The projection series use their intermediate values many times over; written
+    out, or after a filter has been pushed through them, they would grow to
+    millions of nodes. A bound lambda variable keeps them small.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unproject(x: Column, y: Column, plane: dict) -> Column:
+    """Struct (lat, lon) on the plane's own ellipsoid, by the classic series in the footpoint latitude."""
     a, _, e2 = _ellipsoid(plane["ellipsoid"])
     ep2 = e2 / (1 - e2)
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
     m0 = _meridian_arc(math.radians(plane["lat0"]), a, e2)
     mu_scale = a * (1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256)
-    mu = (F.lit(m0) + (y - plane["y0"]) / plane["k0"]) / mu_scale
-    foot = (mu + F.sin(2 * mu) * (3 * e1 / 2 - 27 * e1 ** 3 / 32)
-            + F.sin(4 * mu) * (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32)
-            + F.sin(6 * mu) * (151 * e1 ** 3 / 96) + F.sin(8 * mu) * (1097 * e1 ** 4 / 512))
-    sin_f, cos_f, tan_f = F.sin(foot), F.cos(foot), F.tan(foot)
-    c = cos_f * cos_f * ep2
-    t = tan_f * tan_f
-    w = F.sqrt(1 - sin_f * sin_f * e2)
-    nu = F.lit(a) / w
-    rho = F.lit(a * (1 - e2)) / (w * w * w)
-    d = (x - plane["x0"]) / (nu * plane["k0"])
-    d2 = d * d
-    lat = foot - nu * tan_f / rho * d2 * (
-        F.lit(0.5) - d2 / 24 * (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2)
-        + d2 * d2 / 720 * (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c))
-    lon = d * (1 - d2 / 6 * (1 + 2 * t + c)
-               + d2 * d2 / 120 * (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t)) / cos_f
-    return F.degrees(lat), F.degrees(lon) + plane["lon0"]
-
-
-def transverse_mercator_forward(lat: Column, lon: Column, plane: dict) -> tuple[Column, Column]:
-    """(x, y) of a position given on the plane's own ellipsoid."""
+
+    def foot_of(v):
+        mu = v["mu"]
+        foot = (mu + F.sin(2 * mu) * (3 * e1 / 2 - 27 * e1 ** 3 / 32) + F.sin(4 * mu) * (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32)
+                + F.sin(6 * mu) * (151 * e1 ** 3 / 96) + F.sin(8 * mu) * (1097 * e1 ** 4 / 512))
+        return let(F.struct(foot.alias("f"), v["x"].alias("x")), terms)
+
+    def terms(v):
+        f = v["f"]
+        w = F.sqrt(1 - F.sin(f) * F.sin(f) * e2)
+        return let(F.struct(f.alias("f"), v["x"].alias("x"), w.alias("w"), (F.cos(f) * F.cos(f) * ep2).alias("c"), (F.tan(f) * F.tan(f)).alias("t")), offset)
+
+    def offset(v):
+        d = (v["x"] - plane["x0"]) * v["w"] / (a * plane["k0"])
+        return let(F.struct(v["f"].alias("f"), v["w"].alias("w"), v["c"].alias("c"), v["t"].alias("t"), d.alias("d"), (d * d).alias("d2")), position)
+
+    def position(v):
+        f, w, c, t, d, d2 = (v[n] for n in ("f", "w", "c", "t", "d", "d2"))
+        lat = f - w * w / (1 - e2) * F.tan(f) * d2 * (
+            F.lit(0.5) - d2 / 24 * (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2)
+            + d2 * d2 / 720 * (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c))
+        lon = d * (1 - d2 / 6 * (1 + 2 * t + c) + d2 * d2 / 120 * (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t)) / F.cos(f)
+        return F.struct(F.degrees(lat).alias("lat"), (F.degrees(lon) + plane["lon0"]).alias("lon"))
+
+    return let(F.struct(((F.lit(m0) + (y - plane["y0"]) / plane["k0"]) / mu_scale).alias("mu"), x.alias("x")), foot_of)
+
+
+def project(lat: Column, lon: Column, plane: dict) -> Column:
+    """Struct (x, y) of a position given on the plane's own ellipsoid."""
     a, _, e2 = _ellipsoid(plane["ellipsoid"])
     ep2 = e2 / (1 - e2)
-    phi = F.radians(lat)
-    sin_p, cos_p, tan_p = F.sin(phi), F.cos(phi), F.tan(phi)
-    nu = F.lit(a) / F.sqrt(1 - sin_p * sin_p * e2)
-    t, c = tan_p * tan_p, cos_p * cos_p * ep2
-    aa = F.radians(lon - plane["lon0"]) * cos_p
-    a2 = aa * aa
-    m = (phi * (1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256)
-         - F.sin(2 * phi) * (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024)
-         + F.sin(4 * phi) * (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024)
-         - F.sin(6 * phi) * (35 * e2 ** 3 / 3072)) * a
     m0 = _meridian_arc(math.radians(plane["lat0"]), a, e2)
-    x = nu * aa * (1 + a2 / 6 * (1 - t + c) + a2 * a2 / 120 * (5 - 18 * t + t * t + 72 * c - 58 * ep2))
-    y = m - m0 + nu * tan_p * a2 * (
-        F.lit(0.5) + a2 / 24 * (5 - t + 9 * c + 4 * c * c)
-        + a2 * a2 / 720 * (61 - 58 * t + t * t + 600 * c - 330 * ep2))
-    return x * plane["k0"] + plane["x0"], y * plane["k0"] + plane["y0"]
 
+    def terms(v):
+        p = v["p"]
+        arc = (p * (1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) - F.sin(2 * p) * (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024)
+               + F.sin(4 * p) * (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) - F.sin(6 * p) * (35 * e2 ** 3 / 3072)) * a
+        return let(F.struct((F.lit(a) / F.sqrt(1 - F.sin(p) * F.sin(p) * e2)).alias("nu"), F.tan(p).alias("tan"), (F.tan(p) * F.tan(p)).alias("t"),
+                            (F.cos(p) * F.cos(p) * ep2).alias("c"), (v["dl"] * F.cos(p)).alias("aa"), arc.alias("m")), position)
+
+    def position(v):
+        nu, tan, t, c, aa, m = (v[n] for n in ("nu", "tan", "t", "c", "aa", "m"))
+        a2 = aa * aa
+        x = nu * aa * (1 + a2 / 6 * (1 - t + c) + a2 * a2 / 120 * (5 - 18 * t + t * t + 72 * c - 58 * ep2))
+        y = m - m0 + nu * tan * a2 * (F.lit(0.5) + a2 / 24 * (5 - t + 9 * c + 4 * c * c)
+                                      + a2 * a2 / 720 * (61 - 58 * t + t * t + 600 * c - 330 * ep2))
+        return F.struct((x * plane["k0"] + plane["x0"]).alias("x"), (y * plane["k0"] + plane["y0"]).alias("y"))
+
+    return let(F.struct(F.radians(lat).alias("p"), F.radians(lon - plane["lon0"]).alias("dl")), terms)
 
-def plane_5186_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
-    """GRS80 and WGS84 differ by less than a millimetre here, so no datum step is needed."""
-    return transverse_mercator_inverse(x, y, PLANE_5186)
 
+def plane_5186_to_wgs84(x: Column, y: Column) -> Column:
+    """Struct (lat, lon). GRS80 and WGS84 differ by less than a millimetre here, so no datum step is needed."""
+    return unproject(x, y, PLANE_5186)
 
-def plane_5174_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
-    """Bessel plane coordinates to WGS84: inverse projection, then the seven-parameter shift."""
-    lat, lon = transverse_mercator_inverse(x, y, PLANE_5174)
+
+def plane_5174_to_wgs84(x: Column, y: Column) -> Column:
+    """Struct (lat, lon): inverse projection on Bessel, then the seven-parameter shift."""
     a, _, e2 = _ellipsoid(BESSEL)
-    phi, lam = F.radians(lat), F.radians(lon)
-    nu = F.lit(a) / F.sqrt(1 - F.sin(phi) * F.sin(phi) * e2)
-    gx = nu * F.cos(phi) * F.cos(lam)
-    gy = nu * F.cos(phi) * F.sin(lam)
-    gz = nu * (1 - e2) * F.sin(phi)
     tx, ty, tz, rx, ry, rz, ppm = SHIFT_5174
     rx, ry, rz = (math.radians(v / 3600.0) for v in (rx, ry, rz))
     s = 1 + ppm * 1e-6
-    wx = (gx - gy * rz + gz * ry) * s + tx
-    wy = (gx * rz + gy - gz * rx) * s + ty
-    wz = (gy * rx - gx * ry + gz) * s + tz
     a2, f2, e22 = _ellipsoid((6_378_137.0, 298.257223563))
     b2 = a2 * (1 - f2)
-    p = hypot(wx, wy)
-    theta = F.atan2(wz * a2, p * b2)
-    st, ct = F.sin(theta), F.cos(theta)
-    out_lat = F.atan2(wz + st * st * st * (e22 / (1 - e22) * b2), p - ct * ct * ct * (e22 * a2))
-    return F.degrees(out_lat), F.degrees(F.atan2(wy, wx))
+
+    def centred(v):
+        phi, lam = F.radians(v["lat"]), F.radians(v["lon"])
+        nu = F.lit(a) / F.sqrt(1 - F.sin(phi) * F.sin(phi) * e2)
+        return let(F.struct((nu * F.cos(phi) * F.cos(lam)).alias("x"), (nu * F.cos(phi) * F.sin(lam)).alias("y"),
+                            (nu * (1 - e2) * F.sin(phi)).alias("z")), shifted)
+
+    def shifted(v):
+        gx, gy, gz = v["x"], v["y"], v["z"]
+        return let(F.struct(((gx - gy * rz + gz * ry) * s + tx).alias("x"), ((gx * rz + gy - gz * rx) * s + ty).alias("y"),
+                            ((gy * rx - gx * ry + gz) * s + tz).alias("z")), angles)
+
+    def angles(v):
+        p = hypot(v["x"], v["y"])
+        return let(F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"), p.alias("p"), F.atan2(v["z"] * a2, p * b2).alias("th")), geodetic)
+
+    def geodetic(v):
+        st, ct = F.sin(v["th"]), F.cos(v["th"])
+        lat = F.atan2(v["z"] + st * st * st * (e22 / (1 - e22) * b2), v["p"] - ct * ct * ct * (e22 * a2))
+        return F.struct(F.degrees(lat).alias("lat"), F.degrees(F.atan2(v["y"], v["x"])).alias("lon"))
+
+    return let(unproject(x, y, PLANE_5174), centred)
