@@ -164,45 +164,42 @@ def self_crossings(line: Paths) -> DataFrame:
     return adjacent.join(met, key, "left").select(key, count.cast("long").alias("crossings"))
 
 
-def anchor_arrays(anchors: DataFrame, key: str) -> DataFrame:
-    """(key, ring): the key's anchors in order, as one array of at most MAX_ANCHORS points."""
-    return anchors.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("a_seq", "x", "y"))).alias("ring"))
+def anchor_sides(anchors: DataFrame, key: str) -> DataFrame:
+    """(key, sides): the closed outline of the key's anchors as one array of at most MAX_ANCHORS sides, with arc starts."""
+    ring = anchors.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("a_seq", "x", "y"))).alias("ring"))
+    turned = F.concat(F.slice("ring", F.lit(2), F.size("ring")), F.slice("ring", 1, 1))
+    sides = ring.withColumn("sides", F.zip_with("ring", turned, lambda a, b: F.struct(
+        a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"), dist(a["x"], a["y"], b["x"], b["y"]).alias("len"))))
+    starts = F.transform("sides", lambda s, i: F.struct(
+        s["ax"].alias("ax"), s["ay"].alias("ay"), s["bx"].alias("bx"), s["by"].alias("by"), s["len"].alias("len"),
+        F.aggregate(F.slice("sides", F.lit(1), i), F.lit(0.0), lambda t, o: t + o["len"]).alias("start")))
+    return sides.select(key, starts.alias("sides"))
 
 
-def nearest_on_ring(px: Column, py: Column, ring: Column) -> Column:
-    """Distance from a point to a closed ring given as an array of points."""
-    def side(i):
-        a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, F.size(ring)))
-        return geo.segment_distance(px, py, a["x"], a["y"], b["x"], b["y"])
-
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.size(ring) - 1), side))
+def nearest_on_ring(px: Column, py: Column, sides: Column) -> Column:
+    """Distance from a point to an outline given as an array of sides."""
+    return F.array_min(F.transform(sides, lambda s: geo.segment_distance(px, py, s["ax"], s["ay"], s["bx"], s["by"])))
 
 
 def arc_position(points: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
     """points(key, x, y, ...) plus arc: length along the key's outline of the nearest projection."""
-    ring = F.col("ring")
-    idx = F.sequence(F.lit(0), F.size(ring) - 1)
-    sides = F.transform(idx, lambda i: dist(F.get(ring, i)["x"], F.get(ring, i)["y"],
-                                            F.get(ring, F.pmod(i + 1, F.size(ring)))["x"], F.get(ring, F.pmod(i + 1, F.size(ring)))["y"]))
-    prepared = anchor_arrays(anchors, key).withColumn("sides", sides).withColumn("starts", F.transform(
-        idx, lambda i: F.aggregate(F.slice(F.col("sides"), F.lit(1), i), F.lit(0.0), lambda s, v: s + v)))
     px, py = F.col("x"), F.col("y")
 
-    def projected(i):
-        a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, F.size(ring)))
-        t = geo.segment_fraction(px, py, a["x"], a["y"], b["x"], b["y"])
-        away = geo.segment_distance(px, py, a["x"], a["y"], b["x"], b["y"])
-        return F.struct(geo.half_even(away).alias("d"), i.alias("i"), (F.get("starts", i) + t * F.get("sides", i)).alias("arc"))
+    def projected(s, i):
+        t = geo.segment_fraction(px, py, s["ax"], s["ay"], s["bx"], s["by"])
+        return geo.let(t, lambda v: F.struct(
+            geo.half_even(geo.hypot(px - (s["ax"] + v * (s["bx"] - s["ax"])), py - (s["ay"] + v * (s["by"] - s["ay"])))).alias("d"),
+            i.alias("i"), (s["start"] + v * s["len"]).alias("arc")))
 
-    best = F.array_min(F.transform(idx, projected))
-    return points.join(prepared, key).withColumn("arc", best["arc"]).drop("ring", "sides", "starts")
+    joined = points.join(anchor_sides(anchors, key), key)
+    return joined.withColumn("arc", F.array_min(F.transform("sides", projected))["arc"]).drop("sides")
 
 
 def similarity(line: Paths, anchors: DataFrame, sizes: DataFrame) -> DataFrame:
     """(key, similarity, feature_coverage, worst_feature). sizes: key, diameter_m."""
     key = line.key
-    to_ring = line.df.select(key, "x", "y").join(anchor_arrays(anchors, key), key)
-    dev_r = to_ring.groupBy(key).agg(F.avg(nearest_on_ring(F.col("x"), F.col("y"), F.col("ring"))).alias("dev_r"))
+    to_ring = line.df.select(key, "x", "y").join(anchor_sides(anchors, key), key)
+    dev_r = to_ring.groupBy(key).agg(F.avg(nearest_on_ring(F.col("x"), F.col("y"), F.col("sides"))).alias("dev_r"))
     legs = line.shifted(x2=("x", 1), y2=("y", 1)).df.where(F.col("x2").isNotNull()).select(
         key, F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
     # at most MAX_ANCHORS rows per side of the line, folded on the map side
