@@ -189,7 +189,8 @@ def resolve_locations(queries: DataFrame, gazetteer: list[tuple[str, float, floa
         F.when(ok, F.when(given, label).otherwise(F.col("hit.name"))).alias("name"), error.alias("error"))
 
 
-WIDENING_DEG = (0.02, 0.16)
+# Cell sizes tried one after the other; the last one holds every coordinate.
+WIDENING_DEG = (0.02, 0.16, 1.28, 400.0)
 
 
 def weekly_recommendation(users: DataFrame, completed: DataFrame, courses: DataFrame, week: int) -> DataFrame:
@@ -199,41 +200,36 @@ def weekly_recommendation(users: DataFrame, completed: DataFrame, courses: DataF
     completed one. Order: distance in 250 m bands, a weekly rotation of the
     course id's hash, clearest shape. courses: course_key, course_ref, shape,
     lat, lon, similarity. Users join courses on cells of growing size; one whose
-    best course is farther than the cell guarantees tries the next size.
+    best course is farther than the cell guarantees tries the next size, so
+    only users far from every course ever meet distant ones.
     """
-    seen = completed.select("user_id", "shape").distinct().withColumn("seen", F.lit(True))
-    done = completed.select("user_id", "course_key").distinct()
+    from strideframe.operators.cells import square
+
     turn = F.conv(F.substring(F.sha2("course_ref", 256), 1, 8), 16, 10).cast("long")
     pool = courses.select("course_key", "shape", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "similarity", ((turn + week) % 97).alias("turn"))
-    total = courses.count()
-    left = users.select("user_id", "lat", "lon")
+    total, kinds = (courses.agg(F.count("*").alias("n"), F.count_distinct("shape").alias("k")).first())
+    done = completed.select("user_id", "course_key").distinct()
+    seen = completed.join(courses.select("shape").distinct(), "shape", "left_semi").select("user_id", "shape").distinct().withColumn("seen", F.lit(True))
     spent = done.groupBy("user_id").agg(F.count("*").alias("n"))
-    left = left.join(spent, "user_id", "left").where(F.coalesce("n", F.lit(0)) < total).drop("n")
+    known = seen.groupBy("user_id").agg(F.count("*").alias("k"))
+    left = (users.select("user_id", "lat", "lon").join(spent, "user_id", "left").where(F.coalesce("n", F.lit(0)) < total).drop("n")
+            .join(known, "user_id", "left").withColumn("all_seen", F.coalesce("k", F.lit(0)) >= kinds).drop("k"))
     out = None
-    for size in (*WIDENING_DEG, None):
-        if size is None:
-            a, c = left.withColumn("k", F.lit(1)), pool.withColumn("k", F.lit(1))  # only users far from every course
-            keys = ["k"]
-        else:
-            from strideframe.operators.cells import square
-
-            a = left.withColumns({"ci": geo.cell(F.col("lat"), size), "cj": geo.cell(F.col("lon"), size)})
-            c = pool.withColumn("o", F.explode(square(1))).withColumns(
-                {"ci": geo.cell(F.col("c_lat"), size) + F.col("o.di"), "cj": geo.cell(F.col("c_lon"), size) + F.col("o.dj")}).drop("o")
-            keys = ["ci", "cj"]
+    for size in WIDENING_DEG:
+        a = left.withColumns({"ci": geo.cell(F.col("lat"), size), "cj": geo.cell(F.col("lon"), size)})
+        c = pool.withColumn("o", F.explode(square(1))).withColumns(
+            {"ci": geo.cell(F.col("c_lat"), size) + F.col("o.di"), "cj": geo.cell(F.col("c_lon"), size) + F.col("o.dj")}).drop("o")
         d = geo.haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
-        pairs = a.join(c, keys).join(done, ["user_id", "course_key"], "left_anti").join(seen, ["user_id", "shape"], "left")
-        best = pairs.groupBy("user_id").agg(F.min(F.struct(
+        pairs = a.join(c, ["ci", "cj"]).join(done, ["user_id", "course_key"], "left_anti").join(seen, ["user_id", "shape"], "left")
+        best = pairs.groupBy("user_id", "all_seen").agg(F.min(F.struct(
             F.coalesce("seen", F.lit(False)).alias("seen"), F.rint(geo.half_even(d / 250.0)).cast("long").alias("band"), "turn",
             (-F.col("similarity")).alias("s"), "course_key", "shape")).alias("m"))
-        picked = best.select("user_id", "m.course_key", "m.shape", "m.band", F.col("m.seen").alias("seen_shape"))
-        if size is not None:  # sure only when the shape is new and the band lies inside the guaranteed reach
-            picked = picked.where(~F.col("seen_shape") & ((F.col("band") + 1) * 250.0 <= size * NARROW_M_PER_DEG))
+        # sure when the best lies inside the guaranteed reach and no unseen shape can be left outside it
+        sure = (~F.col("m.seen") | F.col("all_seen")) & ((F.col("m.band") + 1) * 250.0 <= size * NARROW_M_PER_DEG)
+        picked = best.where(sure | F.lit(size == WIDENING_DEG[-1])).select("user_id", "m.course_key", "m.shape", "m.band")
         out = picked if out is None else out.unionByName(picked)
-        if size is None:
-            break
         left = left.join(picked, "user_id", "left_anti")
-        if not any_row(left):
+        if size == WIDENING_DEG[-1] or not any_row(left):
             break
         left = cut(left)
     return users.select("user_id").join(out, "user_id", "left")
