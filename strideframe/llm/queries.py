@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import packing, private, quality, repeats, simhash
+from strideframe.llm import edits, extract, outlines, packing, pieces, private, quality, repeats, shards, simhash
+from strideframe.session import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,12 @@ def word_count(text):
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
+def op1_nearest_outlines(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("course_id"), F.col("embedding").alias("outline"))
+    found = outlines.nearest_outlines(vectors, F.col("course_id") % 50 == 0, 5)
+    return found.withColumnRenamed("course_id", "vec_id")
+
+
 def op2_pack_courses(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     packed = packing.pack_courses(docs.select(F.col("doc_id").alias("course_id"), word_count(F.col("text")).alias("n_points")))
@@ -49,12 +56,31 @@ def op3_private_spans(spark, sf_dir):
                         F.sha2(private.span_text(private.base_spans(spans)), 256).alias("base_sha256"), private.span_text(spans).alias("spans"))
 
 
+def op4_piece_ids(spark, sf_dir):
+    back = pieces.decode_names(pieces.encode_names(_places(spark, sf_dir)))
+    return back.select(F.col("facility_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("name", 256).alias("decoded_sha256"))
+
+
 def op5_place_quality(spark, sf_dir):
     judged = quality.judge(_places(spark, sf_dir), verdicts(_table(spark, sf_dir, "labels")))
     return judged.select(F.col("facility_id").alias("doc_id"), F.round("evidence", 6).alias("evidence"), F.round("site_rate", 6).alias("site_rate"),
                          F.round("quality", 6).alias("quality"), (F.col("quality") >= quality.KEEP).cast("int").alias("keep"))
 
 
+def op6_edit_prints(spark, sf_dir):
+    return edits.prints_with_next(_places(spark, sf_dir)).withColumnRenamed("facility_id", "doc_id")
+
+
+def op7_page_texts(spark, sf_dir):
+    return extract.page_texts(_table(spark, sf_dir, "pages"))
+
+
+def op8_hash_shards(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("course_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size_bytes"))
+    return shards.shard_courses(rows).select(F.col("course_id").alias("doc_id"), F.col("size_bytes").alias("n_bytes"), "shard")
+
+
 def op9_cut_repeats(spark, sf_dir):
     done = repeats.cut_repeats(_places(spark, sf_dir).select("facility_id", "name"))
     return done.select(F.col("facility_id").alias("doc_id"), F.col("repeat_bytes").alias("n_bytes"), F.col("repeat_removed").alias("n_removed"),
@@ -62,11 +88,12 @@ def op9_cut_repeats(spark, sf_dir):
 
 
 def op10_simhash_groups(spark, sf_dir):
-    prints = repeats.cut(simhash.shingle_fingerprints(_places(spark, sf_dir)))
+    prints = cut(simhash.shingle_fingerprints(_places(spark, sf_dir)))
     return simhash.near_groups(prints).select(F.col("facility_id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_courses, op3_private_spans, op5_place_quality, op9_cut_repeats, op10_simhash_groups)}
+QUERIES = {f.__name__: f for f in (op1_nearest_outlines, op2_pack_courses, op3_private_spans, op4_piece_ids, op5_place_quality, op6_edit_prints,
+                                    op7_page_texts, op8_hash_shards, op9_cut_repeats, op10_simhash_groups)}
 
 _SPANS = """
 parts AS (SELECT doc_id, rank, kind, string_split_regex(t, re) AS gap, regexp_extract_all(t, re) AS hit
