@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.components import star_forest
-from strideframe.session import cut
+from strideframe.llm.tables import settle
 
 RADIUS = 3
 # Five blocks of a 64-bit fingerprint; with at most 3 differing bits two blocks at least are equal.
@@ -316,7 +316,7 @@ def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     Equal fingerprints are one node, so copies cost no links. Rows without an id get
     the component of their fingerprint; an empty table gives an empty one.
     """
-    nodes = cut(prints.groupBy("fingerprint").agg(F.min("facility_id").alias("first_id")))
+    nodes = settle(prints.groupBy("fingerprint").agg(F.min("facility_id").alias("first_id")))
     forest = star_forest(near_prints(nodes, radius=radius)).withColumnRenamed("node", "fingerprint")
     rooted = nodes.join(forest, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -343,8 +343,8 @@ def near_copies(facilities: DataFrame, words: int = 5, least: float = 0.8, seeds
                     names=["facility_id", "copy", "prints", "sketch"])
 
     copies = facilities.select("facility_id", F.coalesce("name", F.lit("")).alias("name")).withColumn("copy", F.sha2("name", 256))
-    made = cut(copies.select("facility_id", "name", "copy").mapInArrow(run, "facility_id long, copy string, prints array<long>, sketch binary"))
-    items = cut(made.groupBy("copy").agg(F.min("facility_id").alias("item"), F.min("prints").alias("prints"), F.min("sketch").alias("sketch"))
+    made = settle(copies.select("facility_id", "name", "copy").mapInArrow(run, "facility_id long, copy string, prints array<long>, sketch binary"))
+    items = settle(made.groupBy("copy").agg(F.min("facility_id").alias("item"), F.min("prints").alias("prints"), F.min("sketch").alias("sketch"))
                 .where("item IS NOT NULL"))
     spread = items.select("item", "sketch", F.posexplode("prints").alias("seed", "fingerprint"))
     rows = 10 * seeds * items.count()
@@ -360,7 +360,7 @@ def near_copies(facilities: DataFrame, words: int = 5, least: float = 0.8, seeds
         a, b = bk_links(t.column("key").to_numpy(), fp, item, sketch, least)
         return pa.table({"a": a, "b": b})
 
-    maybe = cut(_tasks(_keyed(spread.drop("sketch"), most), rows).select("task", "key", "fingerprint", "item").groupBy("task")
+    maybe = settle(_tasks(_keyed(spread.drop("sketch"), most), rows).select("task", "key", "fingerprint", "item").groupBy("task")
                 .applyInArrow(touched, "item long").distinct())
     near = _tasks(_keyed(spread.join(maybe, "item"), most), 4 * rows).select("task", "key", "fingerprint", "item", "sketch")
     forest = star_forest(near.groupBy("task").applyInArrow(verified, "a long, b long"))
