@@ -109,37 +109,37 @@ def _strength(groups: DataFrame, rate: str) -> float:
     return 1e6 if between <= 0 else float(min(1e6, max(1.0, within / between - 1)))
 
 
-def site_rates(scored: DataFrame) -> tuple[DataFrame, float]:
-    """((source_key, type_key, site_rate), global rate) from rows (source, type, evidence)."""
+def judge_rates(scored: DataFrame) -> tuple[DataFrame, float]:
+    """((judge_source, judge_type, judge_rate), global rate) from rows (source, type, evidence)."""
     p = 1 / (1 + F.exp(-F.col("evidence")))
-    types = cut(scored.groupBy(F.coalesce("source", F.lit("")).alias("source_key"), F.coalesce("type", F.lit("")).alias("type_key")).agg(
+    types = cut(scored.groupBy(F.coalesce("source", F.lit("")).alias("judge_source"), F.coalesce("type", F.lit("")).alias("judge_type")).agg(
         F.count("*").alias("n"), F.sum(p).alias("total")))
     whole = types.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     rate = (whole["total"] or 0.0) / whole["n"] if whole["n"] else 0.5
     rate = min(1 - 1e-4, max(1e-4, rate))
-    sources = types.groupBy("source_key").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumn("rate", F.lit(rate))
+    sources = types.groupBy("judge_source").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumn("rate", F.lit(rate))
     k = _strength(sources, "rate")
-    sources = sources.select("source_key", ((F.lit(k * rate) + F.col("total")) / (F.lit(k) + F.col("n"))).alias("source_rate"))
-    types = types.join(sources, "source_key")
+    sources = sources.select("judge_source", ((F.lit(k * rate) + F.col("total")) / (F.lit(k) + F.col("n"))).alias("source_rate"))
+    types = types.join(sources, "judge_source")
     k = _strength(types, "source_rate")
-    return cut(types.select("source_key", "type_key", ((F.lit(k) * F.col("source_rate") + F.col("total")) / (F.lit(k) + F.col("n"))).alias("site_rate"))), rate
+    return cut(types.select("judge_source", "judge_type", ((F.lit(k) * F.col("source_rate") + F.col("total")) / (F.lit(k) + F.col("n"))).alias("judge_rate"))), rate
 
 
 def quality_scores(scored: DataFrame) -> DataFrame:
-    """rows (source, type, evidence, ...) with site_rate and quality, the posterior probability of being good.
+    """rows (source, type, evidence, ...) with judge_rate and quality, the posterior probability of being good.
 
     The group table is broadcast only if it has at most BROADCAST_GROUPS rows; a larger
     one is joined by shuffle, where adaptive execution splits a hot source.
     """
-    rates, rate = site_rates(scored)
+    rates, rate = judge_rates(scored)
     side = F.broadcast(rates) if rates.count() <= BROADCAST_GROUPS else rates
-    keyed = scored.withColumns({"source_key": F.coalesce("source", F.lit("")), "type_key": F.coalesce("type", F.lit(""))})
-    odds = F.col("evidence") + F.log(F.col("site_rate") / (1 - F.col("site_rate"))) - F.lit(math.log(rate / (1 - rate)))
-    return keyed.join(side, ["source_key", "type_key"]).drop("source_key", "type_key").withColumn("quality", 1 / (1 + F.exp(-odds)))
+    keyed = scored.withColumns({"judge_source": F.coalesce("source", F.lit("")), "judge_type": F.coalesce("type", F.lit(""))})
+    odds = F.col("evidence") + F.log(F.col("judge_rate") / (1 - F.col("judge_rate"))) - F.lit(math.log(rate / (1 - rate)))
+    return keyed.join(side, ["judge_source", "judge_type"]).drop("judge_source", "judge_type").withColumn("quality", 1 / (1 + F.exp(-odds)))
 
 
 def judge(facilities: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(facility_id, source, type, evidence, site_rate, quality) for every row of `facilities`.
+    """(facility_id, source, type, evidence, judge_rate, quality) for every row of `facilities`.
 
     An empty table gives no rows; without verdicts of both kinds the evidence is the
     same for all and nothing is told apart.
@@ -153,7 +153,7 @@ def keep_good(facilities: DataFrame, verdicts: DataFrame, least: float = KEEP) -
     model = learn(facilities, verdicts)
     if model["blind"]:
         return facilities
-    rates, rate = site_rates(evidence(facilities.select("facility_id", "name", "source", "type"), model))
+    rates, rate = judge_rates(evidence(facilities.select("facility_id", "name", "source", "type"), model))
     side = F.broadcast(rates) if rates.count() <= BROADCAST_GROUPS else rates
     mean, scale, weight, bias = np.array(model["mean"]), np.array(model["scale"]), np.array(model["weight"]), model["bias"]
     names = facilities.columns
@@ -161,9 +161,9 @@ def keep_good(facilities: DataFrame, verdicts: DataFrame, least: float = KEEP) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.array([text_features(t) for t in b.column("name").to_pylist()], float).reshape(-1, len(FEATURES))
-            site = b.column("site_rate").to_numpy()
+            site = b.column("judge_rate").to_numpy()
             odds = np.clip((f - mean) / scale, -8, 8) @ weight + bias + np.log(site / (1 - site)) - math.log(rate / (1 - rate))
             yield b.select(names).filter(pa.array(1 / (1 + np.exp(-odds)) >= least))
 
-    keyed = facilities.withColumns({"source_key": F.coalesce("source", F.lit("")), "type_key": F.coalesce("type", F.lit(""))})
-    return keyed.join(side, ["source_key", "type_key"]).select(*names, "site_rate").mapInArrow(run, facilities.schema)
+    keyed = facilities.withColumns({"judge_source": F.coalesce("source", F.lit("")), "judge_type": F.coalesce("type", F.lit(""))})
+    return keyed.join(side, ["judge_source", "judge_type"]).select(*names, "judge_rate").mapInArrow(run, facilities.schema)

@@ -13,14 +13,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_AS_RECORD = {"doc_id": "facility_id", "text": "name", "lang": "type"}
+
+
 def facilities(docs: DataFrame) -> DataFrame:
-    """documents as facility records."""
-    return docs.withColumnsRenamed({"doc_id": "facility_id", "text": "name", "lang": "type"})
+    """documents as facility records; columns that already have a record's name step aside."""
+    aside = {c: f"documents_{c}" for c in docs.columns if c in _AS_RECORD.values()}
+    return docs.withColumnsRenamed(aside).withColumnsRenamed(_AS_RECORD)
 
 
 def documents(records: DataFrame) -> DataFrame:
-    """facility records as documents."""
-    return records.withColumnsRenamed({"facility_id": "doc_id", "name": "text", "type": "lang"})
+    """facility records as documents, the way back."""
+    back = records.withColumnsRenamed({b: a for a, b in _AS_RECORD.items()})
+    return back.withColumnsRenamed({f"documents_{c}": c for c in _AS_RECORD.values()})
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ def op4_piece_ids(spark, sf_dir):
 
 def op5_place_quality(spark, sf_dir):
     judged = quality.judge(_places(spark, sf_dir), verdicts(_table(spark, sf_dir, "labels")))
-    return judged.select(F.col("facility_id").alias("doc_id"), F.round("evidence", 6).alias("evidence"), F.round("site_rate", 6).alias("site_rate"),
+    return judged.select(F.col("facility_id").alias("doc_id"), F.round("evidence", 6).alias("evidence"), F.round("judge_rate", 6).alias("site_rate"),
                          F.round("quality", 6).alias("quality"), (F.col("quality") >= quality.KEEP).cast("int").alias("keep"))
 
 
@@ -95,18 +100,13 @@ def op10_simhash_groups(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_nearest_outlines, op2_pack_courses, op3_private_spans, op4_piece_ids, op5_place_quality, op6_edit_prints,
                                     op7_page_texts, op8_hash_shards, op9_cut_repeats, op10_simhash_groups)}
 
-_SPANS = """
-parts AS (SELECT doc_id, rank, kind, string_split_regex(t, re) AS gap, regexp_extract_all(t, re) AS hit
-          FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), kinds),
-places AS (SELECT doc_id, rank, kind, hit[i] AS x,
-                  list_sum([length(g) FOR g IN gap[1:i]]) + coalesce(list_sum([length(h) FOR h IN hit[1:i - 1]]), 0) AS lo
-           FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM parts)),
-digits AS (SELECT *, regexp_replace(x, '[^0-9]', '', 'g') AS d FROM places),
-good AS (SELECT doc_id, rank, kind, CAST(lo AS BIGINT) AS lo, CAST(lo AS BIGINT) + length(x) AS hi FROM digits WHERE CASE kind
-    WHEN 'email' THEN true
-    WHEN 'ip' THEN list_max([CAST(CASE WHEN length(ltrim(p, '0')) > 3 THEN '999' WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END AS INTEGER) FOR p IN string_split(x, '.')]) <= 255
-    WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum([CASE WHEN k % 2 = 0 THEN CAST(d[length(d) - k] AS INTEGER)
-             ELSE CAST(substr('0246813579', CAST(d[length(d) - k] AS INTEGER) + 1, 1) AS INTEGER) END FOR k IN range(0, length(d))]) % 10 = 0
-    WHEN 'phone' THEN length(d) BETWEEN 9 AND 15 END)"""
-
-ORACLES: dict[str, str] = {}
+# Vectors share one length in the given table.
+ORACLES: dict[str, str] = {
+    "op1_nearest_outlines": """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.e, v.e)]) AS BIGINT) AS score
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+}
