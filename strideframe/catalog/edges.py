@@ -142,15 +142,6 @@ def node_degree(spark, sf):
     return ed.node_degree(b.edges(spark, sf))
 
 
-def demo_grid(spark, sf):
-    """Synthetic grid attributes hashed from node numbers, over the grid the customer table spans."""
-    from strideframe.sources.synthetic import grid_edges
-
-    n, w = fx.grid(spark, sf)
-    e = grid_edges(spark, w)
-    return rounded(e, "slope_pct", "sidewalk_score", "lighting_score", "cctv_score", "park_score", "crossing_score")
-
-
 def demo_facilities(spark, sf):
     from strideframe.sources.synthetic import facility_pick
 
@@ -161,7 +152,7 @@ QUERIES = {f.__name__: f for f in (
     top_scored_edges, edge_collapse, edge_midpoints, point_cells, edge_density, elevation_survey, elevation_raster,
     elevation_priority, widths_by_name, edge_width, edge_green, edge_enriched, edge_rfs_profiles, routing_weights,
     route_costs, score_bands, citywide_standing, citywide_sample, sanity_report, facility_counts, build_counters,
-    node_degree, demo_grid, demo_facilities)}
+    node_degree, demo_facilities)}
 
 def _h(*parts: str) -> str:
     text = " || '|' || ".join(p if p.startswith("'") else f"CAST({p} AS VARCHAR)" for p in parts)
@@ -207,17 +198,6 @@ ORACLES = {
     "build_counters": sql("""SELECT COUNT(*) AS edges, CAST(SUM(CAST(slope_known AS INT)) AS BIGINT) AS slope_edges, CAST(SUM(CAST(slope_surveyed AS INT)) AS BIGINT) AS slope_surveyed_edges,
       CAST(COUNT(width_m) AS BIGINT) AS width_edges, CAST(SUM(CASE WHEN park_score > 0 THEN 1 ELSE 0 END) AS BIGINT) AS park_edges FROM edge_scored"""),
     "node_degree": sql("SELECT node_id, COUNT(*) AS degree FROM (SELECT u AS node_id FROM edge UNION ALL SELECT v FROM edge) GROUP BY 1"),
-    "demo_grid": sql(f"""SELECT i, j, ni, nj, {D(80.0)} AS length_m,
-        {r(f"CASE WHEN {_HILL} THEN 5 + 4 * {_h('i', 'j', chr(39) + 's' + chr(39))} ELSE {_h('i', 'j', chr(39) + 's' + chr(39))} END", 2)} AS slope_pct,
-        {r(f"CASE WHEN {_RIVER} THEN 1 ELSE {D(0.4)} + {D(0.6)} * {_h('i', 'j', 'ni', 'nj', chr(39) + 'w' + chr(39))} END")} AS sidewalk_score,
-        {r(f"CASE WHEN {_RIVER} THEN {D(0.9)} ELSE {D(0.3)} + {D(0.7)} * {_h('i', 'j', 'ni', 'nj', chr(39) + 'l' + chr(39))} END")} AS lighting_score,
-        {r(f"{D(0.3)} + {D(0.7)} * {_h('i', 'j', 'ni', 'nj', chr(39) + 'c' + chr(39))}")} AS cctv_score,
-        CASE WHEN {_RIVER} THEN {D(1.0)} WHEN {_h('i', 'j', chr(39) + 'p' + chr(39))} > 0.85 THEN {D(0.6)} ELSE {D(0.0)} END AS park_score,
-        {r(f"CASE WHEN {_RIVER} THEN 1 ELSE {D(0.5)} + {D(0.5)} * {_h('i', 'j', 'ni', 'nj', chr(39) + 'x' + chr(39))} END")} AS crossing_score
-      FROM (SELECT a.range AS i, c.range AS j, a.range + d.di AS ni, c.range + 1 - d.di AS nj, w FROM grid_dim, range(1000000) a, range(1000000) c, (SELECT range AS di FROM range(2)) d WHERE a.range < w AND c.range < w AND a.range + d.di < w AND c.range + 1 - d.di < w)"""),
     "demo_facilities": sql(f"""SELECT node_id, CASE CAST(floor(h * 1000000) AS BIGINT) % 4 WHEN 0 THEN 'convenience_store' WHEN 1 THEN 'restroom' WHEN 2 THEN 'water' ELSE 'park' END AS type,
         {r('lat')} AS lat, {r('lon')} AS lon FROM (SELECT *, {_h("'poi'", 'node_id')} AS h FROM road_node) WHERE h >= 0.985"""),
 }
-ORACLES["demo_grid"] = ORACLES["demo_grid"].replace(
-    "FROM grid_dim, range(1000000) a, range(1000000) c,",
-    "FROM grid_dim, (SELECT unnest(range(w)) AS range FROM grid_dim) a, (SELECT unnest(range(w)) AS range FROM grid_dim) c,")

@@ -13,23 +13,12 @@ from strideframe.operators import cells, graph
 from strideframe.session import cut
 
 
-def _cut_grid(spark, sf):
-    """The network without the streets at every eleventh diagonal, which falls into pieces."""
-    nodes = fx.road_node(spark, sf)
-    open_ = nodes.where((F.col("i") + F.col("j")) % 11 != 0).select("node_id")
-    e = b.edges(spark, sf).select("u", "v")
-    kept = e.join(open_.withColumnRenamed("node_id", "u"), "u", "left_semi").join(open_.withColumnRenamed("node_id", "v"), "v", "left_semi")
-    return nodes, kept
-
-
 def components(spark, sf):
-    nodes, kept = _cut_grid(spark, sf)
-    return graph.components(nodes, kept)
+    return graph.components(fx.road_node(spark, sf), b.edges(spark, sf).select("u", "v"))
 
 
 def largest_component(spark, sf):
-    nodes, kept = _cut_grid(spark, sf)
-    return graph.largest_component(graph.components(nodes, kept)).select("node_id")
+    return graph.largest_component(components(spark, sf)).select("node_id")
 
 
 PROFILES = {"w_df": (False, False), "w_dh": (False, True), "w_nf": (True, False), "w_nh": (True, True)}
@@ -80,8 +69,7 @@ def recovered_paths(spark, sf):
 QUERIES = {f.__name__: f for f in (components, largest_component, shortest_paths, shortest_trees, recovered_paths)}
 
 GRAPH_SQL = {
-    "cut_edge": """SELECT e.u AS a, e.v AS b FROM edge e JOIN road_node p ON p.node_id = e.u AND (p.i + p.j) % 11 <> 0 JOIN road_node q ON q.node_id = e.v AND (q.i + q.j) % 11 <> 0
-      UNION ALL SELECT e.v, e.u FROM edge e JOIN road_node p ON p.node_id = e.u AND (p.i + p.j) % 11 <> 0 JOIN road_node q ON q.node_id = e.v AND (q.i + q.j) % 11 <> 0""",
+    "cut_edge": "SELECT u AS a, v AS b FROM edge UNION ALL SELECT v, u FROM edge",
     "weighted": f"SELECT u, v, {', '.join(f'{followable(weight(*p))} AS f_{n[2:]}' for n, p in PROFILES.items())} FROM edge_scored",
     "arc": f"""SELECT a.node, a.far, a.f_df, a.f_dh, a.f_nf, a.f_nh, {cell('n.lat', 0.002)} AS ci, {cell('n.lon', 0.002)} AS cj FROM (SELECT u AS node, v AS far, * FROM weighted UNION ALL SELECT v, u, * FROM weighted) a JOIN road_node n ON n.node_id = a.far""",
     "searching": f"""SELECT s_suppkey AS search_id, n.node_id AS source, s_suppkey % 2 = 0 AS night, s_suppkey % 3 = 0 AS hills, {cell(f'(lat - {D(500.0)} / {D(110540.0)})', 0.002)} AS i_lo, {cell(f'(lat + {D(500.0)} / {D(110540.0)})', 0.002)} AS i_hi,

@@ -205,7 +205,7 @@ def alternative_shapes(spark, sf):
     from strideframe.plans.requests import alternatives
 
     p = preset_table(spark, sf).where("available")
-    asked = shape_requests(spark, sf).where("shape IS NOT NULL").select("request_id", "lat", "lon", "shape")
+    asked = shape_requests(spark, sf).where("shape IS NOT NULL").select("request_id", "lat", "lon", "shape", "distance_km")
     return alternatives(asked, p)
 
 
@@ -277,8 +277,7 @@ def weekly_recommendation(spark, sf):
         F.get(F.array(*map(F.lit, ("cat", "dog", "rabbit", "whale"))), (F.col("course_key") % 4).cast("int")).alias("shape"),
         (F.lit(37.45) + F.floor(F.col("course_key") / 4) * 0.012).alias("lat"), (F.lit(126.85) + (F.col("course_key") % 5) * 0.01).alias("lon"),
         (F.lit(0.70) + F.col("course_key") * 0.01).alias("similarity"))
-    few = c.where("completion_id % 4 = 0 OR completion_id % 3 = 0")
-    return presets.weekly_recommendation(users, few, courses, 30).select("user_id", "course_key", "shape", "band")
+    return presets.weekly_recommendation(users, c, courses, 30).select("user_id", "course_key", "shape", "band")
 
 
 def latency_report(spark, sf):
@@ -286,23 +285,11 @@ def latency_report(spark, sf):
     return rounded(rep, "p50_ms", "p99_ms", "max_ms").withColumn("avg_ms", geo.half_even(F.col("avg_ms"), 3))
 
 
-def throttle_log(spark, sf):
-    li = fx.table(spark, sf, "lineitem")
-    return li.select(F.col("l_suppkey").alias("client_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_seq"),
-                     F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("double").alias("at_s"),
-                     F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.25).alias("cost"))
-
-
-def throttle_audit(spark, sf):
-    return rounded(activity.token_bucket(throttle_log(spark, sf), 0.6), "tokens")
-
-
 QUERIES = {f.__name__: f for f in (
     station_unique, station_lookup, address_variants, address_shape, place_labels, location_cascade, request_defaults, canonical_requests,
     request_keys, request_patches, preset_lookup, presets_nearby, preset_nearest, preset_relocation, preset_survey, distance_decision,
     remaining_jobs, preset_inventory, shape_usage, distance_probes, tolerant_best, alternative_shapes, gpx_export, route_json, atlas_export,
-    build_manifest, map_clusters, passport, passport_runs, relay, undone_courses, facility_merge, weekly_recommendation, latency_report,
-    throttle_audit)}
+    build_manifest, map_clusters, passport, passport_runs, relay, undone_courses, facility_merge, weekly_recommendation, latency_report)}
 
 _V = "VARCHAR"
 _KEY = "regexp_replace(regexp_replace(lower(trim({t})), '^서울(?:특별시|시)?', '서울특별시'), '[^0-9a-z가-힣]', '', 'g')"
@@ -404,9 +391,9 @@ ORACLES = {
     "tolerant_best": sql(f"""SELECT lat, lon, best.sim AS sim, best.km AS km, best.tag AS tag FROM (SELECT lat, lon, list_reduce(list_sort(list(
       {{'ord': CAST(floor({r('length_m / 100')}) AS BIGINT), 'sim': similarity, 'km': length_m / 1000, 'tag': shape}})),
       lambda a, c: CASE WHEN {r('c.sim - a.sim')} > 0.015 OR (abs({r('c.sim - a.sim')}) <= 0.015 AND c.km < a.km) THEN c ELSE a END) AS best FROM preset WHERE available GROUP BY lat, lon)"""),
-    "alternative_shapes": sql("""WITH st AS (SELECT * FROM (VALUES ('rabbit', 0.70), ('cat', 0.70), ('dog', 0.68), ('whale', 0.72)) t(shape, gate))
+    "alternative_shapes": sql("""WITH st AS (SELECT * FROM (VALUES ('rabbit', 0.70, 3), ('cat', 0.70, 3), ('dog', 0.68, 5), ('whale', 0.72, 3)) t(shape, gate, least_km))
       SELECT request_id, alternative, CAST(rn AS INTEGER) AS rank FROM (SELECT q.request_id, p.shape AS alternative, ROW_NUMBER() OVER (PARTITION BY q.request_id ORDER BY sp.pos) AS rn
-        FROM shape_request q JOIN preset p ON p.lat = q.lat AND p.lon = q.lon AND p.available AND p.shape <> q.shape JOIN shape_pos sp ON sp.shape = p.shape JOIN st ON st.shape = p.shape AND p.similarity >= CAST(st.gate AS DOUBLE) WHERE q.shape IS NOT NULL) WHERE rn <= 2"""),
+        FROM shape_request q JOIN preset p ON p.lat = q.lat AND p.lon = q.lon AND p.available AND p.shape <> q.shape JOIN shape_pos sp ON sp.shape = p.shape JOIN st ON st.shape = p.shape AND p.similarity >= CAST(st.gate AS DOUBLE) AND q.distance_km >= st.least_km WHERE q.shape IS NOT NULL) WHERE rn <= 2"""),
     "gpx_export": sql(f"""SELECT course_id, line_no, text FROM (SELECT course_id, seq + 10 AS line_no, '      <trkpt lat="' || {_fix('lat', 6)} || '" lon="' || {_fix('lon', 6)} || '"/>' AS text FROM path_at
       UNION ALL SELECT course_id, i, CASE WHEN i < 8 THEN h[i + 1] WHEN i = 8 THEN '    <name>Loop &lt;' || course_id || '&gt; &amp; &#x27;co&#x27;</name>' ELSE '    <trkseg>' END FROM (SELECT DISTINCT course_id FROM course_path), (SELECT range AS i FROM range(10)), (SELECT [{', '.join(_head)}] AS h)
       UNION ALL SELECT course_id, n + 10 + i, CASE i WHEN 0 THEN '    </trkseg>' WHEN 1 THEN '  </trk>' ELSE '</gpx>' END FROM (SELECT course_id, COUNT(*) AS n FROM course_path GROUP BY 1), (SELECT range AS i FROM range(3)))"""),
@@ -429,7 +416,7 @@ ORACLES = {
     "weekly_recommendation": sql(f"""WITH us AS (SELECT user_id, n.lat, n.lon FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN grid_dim g JOIN road_node n ON n.node_id = user_id * 37 % g.n),
       co AS (SELECT range AS course_key, ['cat', 'dog', 'rabbit', 'whale'][range % 4 + 1] AS shape, {D(37.45)} + CAST(floor(range / 4) AS DOUBLE) * {D(0.012)} AS lat, {D(126.85)} + CAST(range % 5 AS DOUBLE) * {D(0.01)} AS lon, {D(0.70)} + range * {D(0.01)} AS sim,
         (CAST('0x' || substr(sha256('course-' || range), 1, 8) AS BIGINT) + 30) % 97 AS turn_ FROM range(12)),
-      dn AS (SELECT * FROM completion WHERE completion_id % 4 = 0 OR completion_id % 3 = 0),
+      dn AS (SELECT * FROM completion),
       ca AS (SELECT us.user_id, co.*, CAST(round_even({r(hav('us.lat', 'us.lon', 'co.lat', 'co.lon') + ' / 250')}, 0) AS BIGINT) AS band, EXISTS (SELECT 1 FROM dn WHERE dn.user_id = us.user_id AND dn.shape = co.shape) AS seen
         FROM us, co WHERE NOT EXISTS (SELECT 1 FROM dn WHERE dn.user_id = us.user_id AND dn.course_key = co.course_key))
       SELECT us.user_id, c.course_key, c.shape, c.band FROM us LEFT JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY seen, band, turn_, -sim, course_key) AS rn FROM ca) c ON c.user_id = us.user_id AND rn = 1"""),

@@ -49,13 +49,5 @@ def off_route_stream(spark, sf):
     return out.select("fix_id", "course_id", "off_m", "is_off", "accuracy_m")
 
 
-def throttle_stream(spark, sf):
-    li = _stream(spark, sf, "lineitem")
-    log = li.select(F.col("l_suppkey").alias("client_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_seq"),
-                    F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("double").alias("at_s"),
-                    F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.25).alias("cost"))
-    return rounded(jobs.drain(spark, jobs.throttled(log, 0.6)).drop("batch"), "tokens")
-
-
-QUERIES = {f.__name__: f for f in (passport_stream, relay_stream, off_route_stream, throttle_stream)}
+QUERIES = {f.__name__: f for f in (passport_stream, relay_stream, off_route_stream)}
 ORACLES = {"passport_stream": req.ORACLES["passport"], "relay_stream": req.ORACLES["relay"], "off_route_stream": near.ORACLES["off_route"]}

@@ -87,7 +87,7 @@ def course_path(spark, sf_dir):
               FROM (SELECT o_orderkey AS course_id, 2 + o_orderkey % 4 AS a, 2 + o_custkey % 5 AS b,
                            (o_custkey * 13 + o_orderkey) % ({w} - 7) AS i0,
                            (o_custkey * 29 + o_orderkey) % ({w} - 7) AS j0
-                    FROM {{orders}} WHERE o_orderkey % 10 = 0))""",
+                    FROM {{orders}}))""",
                      orders=table(spark, sf_dir, "orders"))
 
 
@@ -177,7 +177,7 @@ FROM events CROSS JOIN grid_dim g""",
     "course_path": """SELECT o.course_id, CAST(k.id AS BIGINT) AS seq,
   (CASE WHEN k.id < a THEN i0 + k.id WHEN k.id < a + b THEN i0 + a WHEN k.id < 2 * a + b THEN i0 + 2 * a + b - k.id ELSE i0 END) * w
   + (CASE WHEN k.id < a THEN j0 WHEN k.id < a + b THEN j0 + k.id - a WHEN k.id < 2 * a + b THEN j0 + b ELSE j0 + 2 * a + 2 * b - k.id END) AS node_id
-FROM (SELECT o_orderkey AS course_id, 2 + o_orderkey % 4 AS a, 2 + o_custkey % 5 AS b, (o_custkey * 13 + o_orderkey) % (g.w - 7) AS i0, (o_custkey * 29 + o_orderkey) % (g.w - 7) AS j0, g.w AS w FROM orders CROSS JOIN grid_dim g WHERE o_orderkey % 10 = 0) o
+FROM (SELECT o_orderkey AS course_id, 2 + o_orderkey % 4 AS a, 2 + o_custkey % 5 AS b, (o_custkey * 13 + o_orderkey) % (g.w - 7) AS i0, (o_custkey * 29 + o_orderkey) % (g.w - 7) AS j0, g.w AS w FROM orders CROSS JOIN grid_dim g) o
 JOIN k ON k.id <= 2 * a + 2 * b""",
     "gps_fix": """SELECT event_id AS fix_id, user_id, ts, user_id * 10 AS course_id, n.lat + (CAST(event_id % 41 AS DOUBLE) - CAST(20 AS DOUBLE)) * CAST(0.00006 AS DOUBLE) AS lat, n.lon AS lon, value AS accuracy_m
 FROM events JOIN course_path p ON p.course_id = user_id * 10 AND p.seq = event_id % 9 JOIN road_node n ON n.node_id = p.node_id""",

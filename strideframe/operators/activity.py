@@ -95,37 +95,3 @@ def idle_sessions(log: DataFrame, gap_s: float) -> DataFrame:
     fresh = F.when(F.col("slot") - F.lag("slot").over(w) > 1, 1).otherwise(0)
     numbered = slots.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w)).drop("fresh")
     return log.withColumn("slot", slot).join(numbered, ["client_id", "slot"]).drop("slot")
-
-
-def token_bucket(log: DataFrame, rate: float) -> DataFrame:
-    """log (client_id, event_seq, at_s, cost) plus the tokens before each request and whether it was allowed.
-
-    Every client has a bucket of 2 * rate tokens that refills at `rate` per
-    second; a rejected request leaves it as it was. After 2 idle seconds a
-    bucket is full whatever happened before, so a client's log falls into
-    independent sessions, which spread a busy client over many tasks. Rows
-    stream through in Arrow batches in time order; no session is gathered.
-    """
-    import pandas as pd
-
-    burst = rate * 2.0
-
-    def run(batches):
-        current, tokens, at = None, burst, 0.0
-        for pdf in batches:
-            allowed, before = [], []
-            for client, session, now, price in zip(pdf["client_id"], pdf["session"], pdf["at_s"], pdf["cost"]):
-                if (client, session) != current:
-                    current, tokens, at = (client, session), burst, now
-                level = min(burst, tokens + (now - at) * rate)
-                ok = level >= price
-                if ok:
-                    tokens, at = level - price, now
-                allowed.append(ok)
-                before.append(level)
-            yield pd.DataFrame({"client_id": pdf["client_id"], "event_seq": pdf["event_seq"], "allowed": allowed, "tokens": before})
-
-    order = ("client_id", "session", "at_s", "event_seq")
-    placed = (idle_sessions(log.select("client_id", "event_seq", "at_s", "cost"), burst / rate)
-              .repartition("client_id", "session").sortWithinPartitions(*order))
-    return placed.mapInPandas(run, "client_id long, event_seq long, allowed boolean, tokens double")

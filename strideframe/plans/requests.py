@@ -65,10 +65,14 @@ def tolerant_pick(candidates: Column) -> Column:
 
 
 def alternatives(requests: DataFrame, candidates: DataFrame, limit: int = 2) -> DataFrame:
-    """Other shapes that clear their gate at the same place, first `limit` in catalogue order."""
+    """Other shapes that clear their gate at the same place and are not longer than asked for at the least, first `limit` in catalogue order.
+
+    requests: request_id, lat, lon, shape, distance_km.
+    """
     position = score.lookup(F.col("alternative"), {s: float(i) for i, s in enumerate(cat.SHAPES)}, 99.0)
     gate = score.lookup(F.col("shape"), {s: v["gate"] for s, v in cat.STYLES.items()}, 1.0)
+    least_km = score.lookup(F.col("alternative"), cat.MIN_KM, 99.0)
     good = candidates.where(F.col("similarity") >= gate).select("lat", "lon", F.col("shape").alias("alternative"))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(position))
-    return (requests.join(good, ["lat", "lon"]).where(F.col("alternative") != F.col("shape"))
+    return (requests.join(good, ["lat", "lon"]).where((F.col("alternative") != F.col("shape")) & (least_km <= F.col("distance_km")))
             .withColumn("rank", rank).where(F.col("rank") <= limit).select("request_id", "alternative", "rank"))

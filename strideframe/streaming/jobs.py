@@ -75,33 +75,6 @@ class _Relay(StatefulProcessor):
         pass
 
 
-class _Bucket(StatefulProcessor):
-    """Token bucket of a client; a rejected request leaves it as it was."""
-
-    def __init__(self, rate: float):
-        self.rate = rate
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._level = handle.getValueState("level", "tokens double, at_s double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, "at_s", "event_seq")
-        burst = self.rate * 2.0
-        tokens, at = self._level.get() or (burst, float(batch["at_s"].iloc[0]))
-        allowed, before = [], []
-        for now, price in zip(batch["at_s"], batch["cost"]):
-            level = min(burst, tokens + (now - at) * self.rate)
-            if level >= price:
-                tokens, at = level - price, float(now)
-            allowed.append(level >= price)
-            before.append(level)
-        self._level.update((tokens, at))
-        yield pd.DataFrame({"client_id": batch["client_id"], "event_seq": batch["event_seq"], "allowed": allowed, "tokens": before})
-
-    def close(self) -> None:
-        pass
-
-
 def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
@@ -115,10 +88,6 @@ def relays(completions: DataFrame) -> DataFrame:
     return _stateful(completions, "user_id", _Relay(), "user_id long, seen long, shape string, legs long, top_course long, rejected long", "Update")
 
 
-def throttled(log: DataFrame, rate: float) -> DataFrame:
-    return _stateful(log, "client_id", _Bucket(rate), "client_id long, event_seq long, allowed boolean, tokens double", "Append")
-
-
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", transform=None) -> StreamingQuery:
     """Every micro-batch, after `transform`, as Parquet under its batch id; a repeated batch replaces itself."""
     def put(batch: DataFrame, batch_id: int) -> None:

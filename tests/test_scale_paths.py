@@ -67,26 +67,6 @@ def test_hot_cells_descend_to_the_same_neighbours(spark, monkeypatch):
         assert got == want
 
 
-def test_token_bucket_against_a_plain_loop(spark):
-    rnd = random.Random(3)
-    rows, at = [], {1: 0.0, 2: 0.0}
-    for i in range(300):
-        c = 1 if rnd.random() < 0.7 else 2
-        at[c] += rnd.choice([0.0, 0.05, 0.3, 2.5])
-        rows.append((c, i, at[c], rnd.choice([0.25, 1.0])))
-    log = spark.createDataFrame(rows, "client_id long, event_seq long, at_s double, cost double")
-    got = {r.event_seq: r.allowed for r in activity.token_bucket(log, 1.0).collect()}
-    state = {}
-    for c, i, now, cost in rows:
-        tokens, then = state.get(c, (2.0, now))
-        tokens = min(2.0, tokens + (now - then) * 1.0)
-        assert got[i] == (tokens >= cost), (c, i)
-        if tokens >= cost:
-            state[c] = (tokens - cost, now)
-        else:
-            state.setdefault(c, (2.0, now))
-
-
 def test_order_statistics(spark):
     rnd = random.Random(5)
     data = [(rnd.choice("abc"), rnd.choice([1.0, 1.0, rnd.expovariate(0.01)])) for _ in range(2000)]
