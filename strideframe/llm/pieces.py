@@ -11,18 +11,20 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-# No piece goes on past a space, so a text falls into units: spaces and what follows them.
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
+# No piece goes on past a space, so a text falls into units: spaces and what follows them. A unit goes by what comes after its first space.
+UNIT = re.compile(" ( *[^ ]*)")
 SLICE_CHARS = 4_000_000
 KEPT_UNITS = 500_000
 LONG_UNIT = 256
@@ -46,8 +48,8 @@ class Vocabulary:
                 self.byte_ids[value] = i
                 self.surface[i] = bytes([value])
         texts = [model.id_to_piece(i) for i in plain]
-        if any(SPACE in t.lstrip(SPACE) for t in texts):
-            raise ValueError("a piece of this vocabulary crosses a space")
+        if any(SPACE in t.lstrip(SPACE) or len(t) > 60 for t in texts):
+            raise ValueError("a piece of this vocabulary crosses a space or has over 60 characters")
         self.ids = np.array(plain, np.int64)
         self.lens = np.array([len(t) for t in texts], np.int64)
         self.codes = np.full((len(texts), int(self.lens.max())), -1, np.int32)
@@ -62,8 +64,9 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 
     As many characters as fit are packed into one number; only suffixes that tie go on to the next ones.
     """
-    alphabet, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64) if alphabet[0] < 0 else rank.astype(np.int64) + 1
+    there = np.zeros(int(codes.max()) + 2, bool)
+    there[codes + 1] = there[0] = True
+    rank = (np.cumsum(there) - 1)[codes + 1]
     bits = max(1, int(rank.max()).bit_length())
     per = min(depth, 62 // bits)
     n = len(codes)
@@ -132,7 +135,10 @@ def occurrences(codes: np.ndarray, order: np.ndarray, vocabulary: Vocabulary) ->
 
 
 class Edges:
-    """Every occurrence of a piece as an edge (start, length), sorted by position."""
+    """Every occurrence of a piece as an edge (start, length), sorted by position.
+
+    Per start: the number of its first edge, and its edges' lengths as bits.
+    """
 
     def __init__(self, codes: np.ndarray, vocabulary: Vocabulary):
         self.width = vocabulary.codes.shape[1] + 1
@@ -143,16 +149,19 @@ class Edges:
         place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
         edge = (order[place] * self.width + vocabulary.lens[which]) << 20 | which
         edge.sort()
-        self.code, self.piece = edge >> 20, (edge & (2**20 - 1)).astype(np.int32)
+        self.piece = np.r_[edge & (2**20 - 1), 0].astype(np.int32)
+        start, length = np.divmod(edge >> 20, self.width)
+        heads = np.flatnonzero(np.r_[True, start[1:] != start[:-1]][:len(start)])
+        self.lengths, self.first = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        if len(heads):
+            self.lengths[start[heads]] = np.bitwise_or.reduceat(np.int64(1) << length, heads)
+            self.first[start[heads]] = heads
         self.ranks, self.ids = vocabulary.ranks, vocabulary.ids
 
     def find(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece row, whether there is one) for each span."""
-        code = start * self.width + np.minimum(length, self.width - 1)
-        if not len(self.code):
-            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
-        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        return self.piece[at], (self.code[at] == code) & (length < self.width)
+        lengths, bit = self.lengths[start], np.int64(1) << np.minimum(length, self.width)
+        return self.piece[self.first[start] + np.bitwise_count(lengths & (bit - 1))], (lengths & bit) > 0
 
     def rank(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         piece, there = self.find(start, length)
@@ -228,6 +237,14 @@ def relax(starts: np.ndarray, lens: np.ndarray, edges: Edges) -> tuple[np.ndarra
     return unit[order], at[order], size[order]
 
 
+def _units(name: str) -> list[str]:
+    """The units of a name, each without its first space."""
+    if not name:
+        return []
+    name = name.replace(SPACE, " ")
+    return UNIT.findall(f" {name}") if name[0] == " " or "  " in name else name.split(" ")
+
+
 class Encoder:
     """Encodes names; the units it has met are kept, so only new ones are indexed."""
 
@@ -236,15 +253,16 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids = np.zeros(0, np.int32)
         self.count = np.zeros(0, np.int64)
 
     def _learn(self, units: list[str]) -> None:
         """Concatenate the units, index them and relax their edges."""
         vocabulary = self.vocabulary
-        codes = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
-        lens = np.fromiter(map(len, units), np.int64, len(units))
+        joined = "".join([f"{SPACE}{u}\0" for u in units]).replace(" ", SPACE)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+        lens = np.fromiter(map(len, units), np.int64, len(units)) + 1
         ends = np.cumsum(lens + 1) - 1
         codes[ends] = -1
         edges = Edges(codes, vocabulary)
@@ -265,24 +283,26 @@ class Encoder:
         """(ids of all names one after another, how many each has)."""
         if len(self.number) > self.most:
             self._forget()
-        number, known, seqs = self.number, len(self.number), []
-        for name in names:
-            text = SPACE + name.replace(" ", SPACE) if name else ""
-            seqs.append([number.setdefault(u, len(number)) for u in UNIT.findall(text)])
+        number, known = self.number, len(self.number)
+        parts = [_units(name) for name in names]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        seq = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         if len(number) > known:
             self._learn(list(islice(number, known, None)))
         first = np.cumsum(self.count) - self.count
-        counts = np.fromiter(map(len, seqs), np.int64, len(seqs))
-        seq = np.fromiter(chain.from_iterable(seqs), np.int64, int(counts.sum()))
         n = self.count[seq]
         take = np.arange(int(n.sum())) + np.repeat(first[seq] - (np.cumsum(n) - n), n)
         return self.ids[take], np.bincount(np.repeat(np.arange(len(names)), counts), n, len(names)).astype(np.int64)
 
 
-def decode_ids(ids: list[int], vocabulary: Vocabulary) -> str:
-    """The text of a list of ids; bytes that are no UTF-8 become U+FFFD."""
-    text = b"".join([vocabulary.surface[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text[:1] == " " else text
+def decode_ids(flat: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> Iterator[str]:
+    """The texts of lists of ids, given one after another; bytes that are no UTF-8 become U+FFFD."""
+    pieces = pa.array(vocabulary.surface, pa.large_binary()).take(pa.array(flat))
+    ends = np.r_[0, np.cumsum(pc.binary_length(pieces).to_numpy())][np.cumsum(counts)].tolist()
+    data = bytes(pieces.buffers()[2] or b"")
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        text = data[lo:hi].decode("utf-8", "replace").replace(SPACE, " ")
+        yield text[1:] if text[:1] == " " else text
 
 
 def _slices(names: list[str]) -> Iterator[slice]:
@@ -319,7 +339,8 @@ def decode_names(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = [decode_ids(x or [], vocabulary) for x in b.column("ids").to_pylist()]
+            ids = b.column("ids")
+            names = list(decode_ids(ids.flatten().to_numpy(), ids.value_lengths().fill_null(0).to_numpy(), vocabulary))
             yield pa.RecordBatch.from_arrays([b.column("facility_id"), b.column("ids"), pa.array(names, pa.string())], names=["facility_id", "ids", "name"])
 
     return encoded.select("facility_id", "ids").mapInArrow(run, "facility_id long, ids array<int>, name string")
