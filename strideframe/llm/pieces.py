@@ -25,8 +25,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # No piece goes on past a space, so a text falls into units: spaces and what follows them. A unit goes by what comes after its first space.
 UNIT = re.compile(" ( *[^ ]*)")
-SLICE_CHARS = 4_000_000
-KEPT_UNITS = 500_000
+SLICE_CHARS = 1_500_000
+SLICE_IDS = 500_000
+KEPT_UNITS = 300_000
 LONG_UNIT = 256
 NEVER = np.int64(2**31)
 
@@ -305,15 +306,16 @@ def decode_ids(flat: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) ->
         yield text[1:] if text[:1] == " " else text
 
 
-def _slices(names: list[str]) -> Iterator[slice]:
+def _slices(sizes: list[int], enough: int) -> Iterator[slice]:
+    """Consecutive rows whose sizes add up to `enough`."""
     lo = total = 0
-    for i, name in enumerate(names):
-        total += len(name)
-        if total >= SLICE_CHARS:
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= enough:
             yield slice(lo, i + 1)
             lo, total = i + 1, 0
-    if lo < len(names):
-        yield slice(lo, len(names))
+    if lo < len(sizes):
+        yield slice(lo, len(sizes))
 
 
 def encode_names(facilities: DataFrame, path: str = MODEL) -> DataFrame:
@@ -324,7 +326,7 @@ def encode_names(facilities: DataFrame, path: str = MODEL) -> DataFrame:
         encode = Encoder(vocabulary)
         for b in batches:
             names = b.column("name").to_pylist()
-            for s in _slices(names):
+            for s in _slices([len(name) for name in names], SLICE_CHARS):
                 flat, counts = encode(names[s])
                 offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("facility_id")[s.start:s.stop], pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))],
@@ -339,8 +341,10 @@ def decode_names(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("ids")
-            names = list(decode_ids(ids.flatten().to_numpy(), ids.value_lengths().fill_null(0).to_numpy(), vocabulary))
-            yield pa.RecordBatch.from_arrays([b.column("facility_id"), b.column("ids"), pa.array(names, pa.string())], names=["facility_id", "ids", "name"])
+            counts = b.column("ids").value_lengths().fill_null(0).to_numpy()
+            for s in _slices(counts.tolist(), SLICE_IDS):
+                ids = b.column("ids")[s.start:s.stop]
+                names = pa.array(list(decode_ids(ids.flatten().to_numpy(), counts[s], vocabulary)), pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("facility_id")[s.start:s.stop], ids, names], names=["facility_id", "ids", "name"])
 
     return encoded.select("facility_id", "ids").mapInArrow(run, "facility_id long, ids array<int>, name string")
