@@ -29,10 +29,8 @@ def survey_shapes(places: DataFrame, preset_table: DataFrame) -> DataFrame:
 
 
 def decide_shape_courses(requests: DataFrame, preset_table: DataFrame) -> DataFrame:
-    """Per (place, shape, distance): serve, suggest, relocate or generate."""
-    from strideframe.functions.score import lookup
-
-    return presets.distance_decision(requests, preset_table, lookup(F.col("shape"), shapes.MIN_KM, 3.0))
+    """Per shape request: serve, suggest, relocate or generate."""
+    return presets.distance_decision(requests, preset_table)
 
 
 def shape_catalog(spark) -> DataFrame:

@@ -32,6 +32,7 @@ ADDRESS = """SELECT c_custkey AS query_id, CASE c_custkey % 9 WHEN 0 THEN concat
   ELSE concat('5호선 신설', CAST(c_custkey % 37 AS {str}), '역') END AS location"""
 PRESET = """SELECT lat, lon, shape, name, (station_seq + pos) % 3 <> 0 AS available,
   CASE WHEN (station_seq + pos) % 3 <> 0 THEN CAST(3000 + (station_seq * 37 + pos * 11) % 60 * 100 AS DOUBLE) END AS length_m,
+  CASE WHEN (station_seq + pos) % 3 <> 0 THEN CAST(3 + floor((station_seq * 37 + pos * 11) % 60 / 10) AS DOUBLE) END AS distance_km,
   CASE WHEN (station_seq + pos) % 3 <> 0 THEN CAST(70 + (station_seq * 13 + pos * 7) % 30 AS DOUBLE) / CAST(100 AS DOUBLE) END AS similarity"""
 
 
@@ -162,8 +163,8 @@ def preset_survey(spark, sf):
 
 
 def distance_decision(spark, sf):
-    q = shape_requests(spark, sf).where("shape IS NOT NULL").select("request_id", "lat", "lon", "shape", "distance_km")
-    return presets.distance_decision(q, preset_table(spark, sf), F.lit(3.0)).select("request_id", "decision")
+    q = shape_requests(spark, sf).where("shape IS NOT NULL")
+    return presets.distance_decision(q, preset_table(spark, sf)).select("request_id", "decision")
 
 
 def remaining_jobs(spark, sf):
@@ -268,7 +269,7 @@ def facility_merge(spark, sf):
 
 def weekly_recommendation(spark, sf):
     n, w = fx.grid(spark, sf)
-    c = fx.completion(spark, sf)
+    c = activity.latest_runs(fx.completion(spark, sf))
     users = spark.sql(f"SELECT user_id, node.lat, node.lon FROM (SELECT DISTINCT user_id FROM {{events}}) JOIN {{node}} node ON node.node_id = user_id * 37 % {n}",
                       events=fx.table(spark, sf, "events"), node=fx.road_node(spark, sf))
     keys = spark.range(12).select(F.col("id").alias("course_key"))  # the twelve courses completions refer to
@@ -316,9 +317,9 @@ REQ_SQL = {
     "spot": f"SELECT point_id, lat, lon, {_shape4}[point_id % 4 + 1] AS shape FROM point_feature WHERE kind = 'facility'",
     "spot_pair": f"SELECT s.point_id, s.lat, s.lon, s.shape, p.name, p.lat AS p_lat, p.lon AS p_lon, p.similarity, {r(_pd)} AS distance_m FROM spot s JOIN preset p ON p.shape = s.shape AND p.available",
     "run_last": "SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, completion_id DESC) AS back FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, course_key ORDER BY ts DESC, completion_id DESC) AS rn FROM completion) WHERE rn = 1",
-    "req_near": f"""SELECT r.lat, r.lon, r.shape, arg_min(p.length_m, p.d) AS n_length, arg_min(p.similarity, p.d) AS n_sim, MIN(p.d) AS distance_m FROM
+    "req_near": f"""SELECT r.lat, r.lon, r.shape, arg_min(p.length_m, p.d) AS n_length, arg_min(p.similarity, p.d) AS n_sim, arg_min(p.distance_km, p.d) AS n_km, MIN(p.d) AS distance_m FROM
       (SELECT DISTINCT lat, lon, shape FROM (SELECT lat, lon FROM shape_request), (SELECT shape FROM shape_pos)) r JOIN LATERAL
-      (SELECT s.length_m, s.similarity, {r(equi('r.lat', 'r.lon', 's.lat', 's.lon'))} AS d FROM preset s WHERE s.shape = r.shape AND s.available AND abs(s.lat - r.lat) < 0.03 AND abs(s.lon - r.lon) < 0.03) p ON p.d <= 2000 GROUP BY 1, 2, 3""",
+      (SELECT s.length_m, s.similarity, s.distance_km, {r(equi('r.lat', 'r.lon', 's.lat', 's.lon'))} AS d FROM preset s WHERE s.shape = r.shape AND s.available AND abs(s.lat - r.lat) < 0.03 AND abs(s.lon - r.lon) < 0.03) p ON p.d <= 2000 GROUP BY 1, 2, 3""",
 }
 
 
@@ -378,8 +379,8 @@ ORACLES = {
         CASE WHEN ex THEN 0 ELSE n_d END AS distance_m, COALESCE(ex, FALSE) OR COALESCE(n_d < 150, FALSE) AS here FROM a),
       pk AS (SELECT place_id, position, ROW_NUMBER() OVER (PARTITION BY place_id ORDER BY CASE WHEN wanted IS NOT NULL THEN {r('abs(length_m / 1000 - wanted)')} ELSE -sim END, CASE WHEN wanted IS NOT NULL THEN -sim ELSE length_m / 1000 END, position) AS rn FROM c WHERE here)
       SELECT c.place_id, c.shape, c.source, c.length_m, c.distance_m, pk.position IS NOT NULL AS featured FROM c LEFT JOIN pk ON pk.place_id = c.place_id AND pk.position = c.position AND pk.rn = 1"""),
-    "distance_decision": sql(f"""SELECT request_id, CASE WHEN cl IS NULL THEN 'generate' WHEN NOT ex AND n_d >= 150 THEN 'relocate' WHEN {r('abs(cl / 1000 - distance_km) / distance_km')} <= 0.10 THEN 'serve' WHEN distance_km < 3 THEN 'suggest' ELSE 'generate' END AS decision
-      FROM (SELECT q.request_id, q.distance_km, COALESCE(p.available, FALSE) AS ex, n.distance_m AS n_d, CASE WHEN p.available THEN p.length_m ELSE n.n_length END AS cl
+    "distance_decision": sql(f"""SELECT request_id, CASE WHEN NOT plain OR cl IS NULL THEN 'generate' WHEN NOT ex AND n_d >= 150 THEN 'relocate' WHEN {r('abs(cl / 1000 - distance_km) / distance_km')} <= 0.10 THEN 'serve' WHEN distance_km < least_km THEN 'suggest' ELSE 'generate' END AS decision
+      FROM (SELECT q.request_id, q.distance_km, COALESCE(NOT include_hills AND NOT night_mode AND NOT needs, FALSE) AS plain, CASE WHEN p.available THEN p.distance_km ELSE n.n_km END AS least_km, COALESCE(p.available, FALSE) AS ex, n.distance_m AS n_d, CASE WHEN p.available THEN p.length_m ELSE n.n_length END AS cl
         FROM shape_request q LEFT JOIN preset p ON p.lat = q.lat AND p.lon = q.lon AND p.shape = q.shape LEFT JOIN req_near n ON n.lat = q.lat AND n.lon = q.lon AND n.shape = q.shape WHERE q.shape IS NOT NULL)"""),
     "remaining_jobs": sql(f"""SELECT j.lat, j.lon, j.shape, f.retry FROM (SELECT {r('lat', 5)} AS lat, {r('lon', 5)} AS lon, shape FROM station_last, shape_pos) j CROSS JOIN (VALUES (FALSE), (TRUE)) f(retry)
       LEFT JOIN preset p ON p.lat = j.lat AND p.lon = j.lon AND p.shape = j.shape WHERE p.shape IS NULL OR (f.retry AND NOT p.available)"""),
@@ -416,7 +417,7 @@ ORACLES = {
     "weekly_recommendation": sql(f"""WITH us AS (SELECT user_id, n.lat, n.lon FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN grid_dim g JOIN road_node n ON n.node_id = user_id * 37 % g.n),
       co AS (SELECT range AS course_key, ['cat', 'dog', 'rabbit', 'whale'][range % 4 + 1] AS shape, {D(37.45)} + CAST(floor(range / 4) AS DOUBLE) * {D(0.012)} AS lat, {D(126.85)} + CAST(range % 5 AS DOUBLE) * {D(0.01)} AS lon, {D(0.70)} + range * {D(0.01)} AS sim,
         (CAST('0x' || substr(sha256('course-' || range), 1, 8) AS BIGINT) + 30) % 97 AS turn_ FROM range(12)),
-      dn AS (SELECT * FROM completion),
+      dn AS (SELECT * FROM run_last WHERE back <= 40),
       ca AS (SELECT us.user_id, co.*, CAST(round_even({r(hav('us.lat', 'us.lon', 'co.lat', 'co.lon') + ' / 250')}, 0) AS BIGINT) AS band, EXISTS (SELECT 1 FROM dn WHERE dn.user_id = us.user_id AND dn.shape = co.shape) AS seen
         FROM us, co WHERE NOT EXISTS (SELECT 1 FROM dn WHERE dn.user_id = us.user_id AND dn.course_key = co.course_key))
       SELECT us.user_id, c.course_key, c.shape, c.band FROM us LEFT JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY seen, band, turn_, -sim, course_key) AS rn FROM ca) c ON c.user_id = us.user_id AND rn = 1"""),

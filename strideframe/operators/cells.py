@@ -186,7 +186,7 @@ def nodes_within(queries: DataFrame, nodes: DataFrame, *, limit: int = 6, max_di
 
     # narrowest cell of the supported latitudes decides how many cells the radius spans
     narrow = NODE_CELL * min(geo.M_PER_DEG_LAT, geo.M_PER_DEG_LON_EQUATOR * math.cos(math.radians(37.72)))
-    reach = max(1, min(15, math.ceil(max_distance_m / narrow) + 1))
+    reach = max(1, math.ceil(max_distance_m / narrow) + 1)
     pts = _as_points(nodes)
     links = square_links(queries, NODE_CELL, reach)
     best = nearest_points(queries, pts, size=NODE_CELL, links=links, k=limit, metric=_plane_distance,

@@ -1,7 +1,8 @@
 """Verified courses per (place, shape) and how requests are matched to them.
 
-presets: lat, lon, shape, name, available, length_m, similarity. A row that is
-not available is known to have no course; a missing row was never tried.
+presets: lat, lon, shape, name, available, length_m, similarity and
+distance_km, the distance it was asked for. A row that is not available is known
+to have no course; a missing row was never tried.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("preset_key", text.preset_key(F.col("lat"), F.col("lon"), F.col("shape")))
 
 
+def is_plain() -> Column:
+    """Whether a request can be answered by a preset: a shape, and neither hills nor night nor facilities."""
+    return F.coalesce(~F.col("include_hills") & ~F.col("night_mode") & F.col("shape").isNotNull() & (F.size(F.coalesce("need_facilities", F.array())) == 0), F.lit(False))
+
+
 def lookup(requests: DataFrame, presets: DataFrame) -> DataFrame:
     """requests plus outcome: found, unavailable or not_covered. Hills, night and facilities bypass the presets."""
-    table = keyed(presets).select("preset_key", "available", "length_m", "similarity", F.col("name").alias("preset_name"))
-    plain = ~F.col("include_hills") & ~F.col("night_mode") & F.col("shape").isNotNull() & (F.size(F.coalesce("need_facilities", F.array())) == 0)
-    plain = F.coalesce(plain, F.lit(False))
+    table = keyed(presets).select("preset_key", "available", "length_m", "similarity", F.col("name").alias("preset_name"), F.col("distance_km").alias("preset_km"))
+    plain = is_plain()
     joined = keyed(requests.where(plain)).join(table, "preset_key", "left")
     # rows that bypass the presets skip the join, where they would all share one empty key
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != "preset_key"]
@@ -39,7 +44,8 @@ def lookup(requests: DataFrame, presets: DataFrame) -> DataFrame:
 def nearby(spots: DataFrame, presets: DataFrame, max_m: float = NEAR_PRESET_M) -> DataFrame:
     """(lat, lon, shape) spots x available presets of the shape within max_m, with distance_m; by an equi join on cells."""
     size = max_m / NARROW_M_PER_DEG
-    ready = presets.where("available").select("shape", F.col("name").alias("preset_name"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "length_m", "similarity")
+    ready = presets.where("available").select("shape", F.col("name").alias("preset_name"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "length_m", "similarity",
+                                              F.col("distance_km").alias("preset_km"))
     from strideframe.operators.cells import square
 
     spread = ready.withColumn("o", F.explode(square(1))).withColumns({
@@ -52,8 +58,9 @@ def nearby(spots: DataFrame, presets: DataFrame, max_m: float = NEAR_PRESET_M) -
 
 def _best(pairs: DataFrame, *order) -> DataFrame:
     """The first match per spot; folded on the map side, so a crowded place costs one row per task."""
-    best = F.min(F.struct(*order, "preset_name", "p_lat", "p_lon", "length_m", "similarity", "distance_m")).alias("m")
-    return pairs.groupBy("lat", "lon", "shape").agg(best).select("lat", "lon", "shape", "m.preset_name", "m.p_lat", "m.p_lon", "m.length_m", "m.similarity", "m.distance_m")
+    best = F.min(F.struct(*order, "preset_name", "p_lat", "p_lon", "length_m", "similarity", "preset_km", "distance_m")).alias("m")
+    return pairs.groupBy("lat", "lon", "shape").agg(best).select(
+        "lat", "lon", "shape", *[f"m.{c}" for c in ("preset_name", "p_lat", "p_lon", "length_m", "similarity", "preset_km", "distance_m")])
 
 
 def nearest(spots: DataFrame, presets: DataFrame, max_m: float = NEAR_PRESET_M) -> DataFrame:
@@ -109,23 +116,27 @@ def survey(places: DataFrame, presets: DataFrame, shapes: tuple[str, ...]) -> Da
             .drop("f_position", "position"))
 
 
-def distance_decision(requests: DataFrame, presets: DataFrame, min_km: Column) -> DataFrame:
-    """requests (request_id, lat, lon, shape, distance_km) plus decision.
+def distance_decision(requests: DataFrame, presets: DataFrame) -> DataFrame:
+    """requests (request_id, lat, lon, shape, distance_km, include_hills, night_mode, need_facilities) plus decision.
 
     serve: a preset here is within 10 % of the asked distance; suggest: the ask
-    is shorter than the clean minimum; relocate: the nearest preset starts
-    elsewhere; generate: anything else.
+    is shorter than what that preset was asked for; relocate: the nearest preset
+    starts elsewhere; generate: anything else. Hills, night and facilities are
+    never answered by a preset, so such requests are generated.
     """
-    base = requests.withColumns({"include_hills": F.lit(False), "night_mode": F.lit(False), "need_facilities": F.array().cast("array<string>")})
-    own = lookup(base, presets)
-    near = nearest(own.where("outcome <> 'found'"), presets).select("lat", "lon", "shape", F.col("length_m").alias("n_length"), "distance_m")
-    rows = own.join(near, ["lat", "lon", "shape"], "left")
+    own = lookup(requests, presets)
+    open_ = (F.col("outcome") != "found") & is_plain()
+    near = nearest(own.where(open_), presets).select("lat", "lon", "shape", F.col("length_m").alias("n_length"), F.col("preset_km").alias("n_km"), "distance_m")
+    # rows that bypass the presets skip the join; other requests may have their spot
+    blank = [F.lit(None).cast("double").alias(c) for c in ("n_length", "n_km", "distance_m")]
+    rows = own.where(~open_).select("*", *blank).unionByName(own.where(open_).join(near, ["lat", "lon", "shape"], "left"))
     clean = F.coalesce(F.when(F.col("outcome") == "found", F.col("length_m")), F.col("n_length"))
+    least_km = F.coalesce(F.when(F.col("outcome") == "found", F.col("preset_km")), F.col("n_km"))
     km = clean / 1000.0
     moved = (F.col("outcome") != "found") & F.col("distance_m").isNotNull() & (F.col("distance_m") >= EXACT_M)
     decision = (F.when(clean.isNull(), "generate").when(moved, "relocate")
                 .when(geo.half_even(F.abs(km - F.col("distance_km")) / F.col("distance_km")) <= 0.10, "serve")
-                .when(F.col("distance_km") < min_km, "suggest").otherwise("generate"))
+                .when(F.col("distance_km") < least_km, "suggest").otherwise("generate"))
     return rows.withColumns({"decision": decision, "clean_km": km})
 
 

@@ -44,7 +44,7 @@ class _Passport(StatefulProcessor):
         for r in runs:
             places.setdefault(r[4], set()).add(r[3])
         yield pd.DataFrame({"user_id": [key[0]], "seen": [seen], "runs": [len(runs)], "shapes": [",".join(shapes)],
-                            "masters": [sum(len(v) == activity.ALL_SHAPES for v in places.values())],
+                            "masters": [sum(len(v) == activity.ALL_SHAPES for k, v in places.items() if k)],
                             "complete": [len(shapes) == activity.ALL_SHAPES]})
 
     def close(self) -> None:

@@ -9,7 +9,7 @@ from strideframe.catalog import base as b
 from strideframe.catalog import plans as cat_plans
 from strideframe.catalog.nearby import facilities
 from strideframe.functions import geo
-from strideframe.operators import cells
+from strideframe.operators import cells, presets
 from strideframe.plans import loops, shape_search
 from strideframe.session import cut
 
@@ -82,3 +82,41 @@ def test_plane_round_trip(spark):
     row = spark.range(1).select(geo.plane_lat(F.lit(100.0), F.lit(37.5)).alias("lat"), geo.plane_lon(F.lit(50.0), F.lit(37.5), F.lit(127.0)).alias("lon"))
     r = row.select(geo.plane_x(F.col("lon"), F.lit(37.5), F.lit(127.0)).alias("x"), geo.plane_y(F.col("lat"), F.lit(37.5)).alias("y")).first()
     assert abs(r.x - 50) < 1e-6 and abs(r.y - 100) < 1e-6
+
+
+def test_decisions_follow_the_preset_and_the_request(spark):
+    at = (37.45, 126.85)
+    table = spark.createDataFrame([(*at, "dog", "spot", True, 9000.0, 0.8, 8.0), (*at, "cat", "spot", False, None, None, None)],
+                                  "lat double, lon double, shape string, name string, available boolean, length_m double, similarity double, distance_km double")
+    asked = [(1, "dog", 9.0, False, None), (2, "dog", 9.0, True, None), (3, "dog", 6.0, False, None), (4, "dog", 12.0, False, None),
+             (5, "dog", 9.0, False, ["restroom"]), (6, "cat", 9.0, False, None), (7, "dog", 8.0, False, None)]
+    requests = spark.createDataFrame([(i, *at, s, km, hills, False, need) for i, s, km, hills, need in asked],
+                                     "request_id long, lat double, lon double, shape string, distance_km double, include_hills boolean, night_mode boolean, need_facilities array<string>")
+    got = {r.request_id: r.decision for r in presets.distance_decision(requests, table).collect()}
+    assert got == {1: "serve", 2: "generate", 3: "suggest", 4: "generate", 5: "generate", 6: "generate", 7: "generate"}
+    moved = requests.where("request_id < 3").withColumn("lat", F.col("lat") + 0.01)
+    assert {r.request_id: r.decision for r in presets.distance_decision(moved, table).collect()} == {1: "relocate", 2: "generate"}
+
+
+def test_preset_build_keeps_the_distance_tried(spark, monkeypatch):
+    def found(requests, nodes, edges):
+        """A course for dogs only, a little longer than asked; the clearest is the 7 km one."""
+        rows = requests.where("shape = 'dog'").select(
+            "request_id", "shape", F.lit(True).alias("usable"), (F.col("distance_km") * 1010.0).alias("length_m"),
+            F.when(F.col("distance_km") == 7, 0.95).otherwise(0.8).alias("sim"), F.col("request_id").alias("cand_id"))
+        return rows, None
+
+    monkeypatch.setattr(shape_search, "search", found)
+    stations = spark.createDataFrame([(37.45, 126.85), (37.46, 126.86)], "lat double, lon double")
+    done = spark.createDataFrame([(37.46, 126.86, "dog", True)], "lat double, lon double, shape string, available boolean")
+    got = {(r.lat, r.shape): r for r in shape_search.build_presets(stations, done, None, None).collect()}
+    assert len(got) == 7 and (37.46, "dog") not in got
+    assert [k for k, r in got.items() if r.available] == [(37.45, "dog")]
+    dog = got[37.45, "dog"]
+    assert dog.distance_km == 7.0 and math.isclose(dog.length_m, 7070.0) and dog.similarity == 0.95
+
+
+def test_nodes_far_away_are_found(spark):
+    nodes = spark.createDataFrame([(1, 37.54, 127.0), (2, 37.50, 127.07), (3, 37.65, 127.0)], "node_id long, lat double, lon double")
+    asked = spark.createDataFrame([(37.5, 127.0)], "lat double, lon double")
+    assert [r.node_id for r in cells.nodes_within(asked, nodes, max_distance_m=10_000.0).orderBy("rank").collect()] == [1, 2]
