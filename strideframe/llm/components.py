@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +35,40 @@ def star_forest(links: DataFrame) -> DataFrame:
         cur = cut(hung.unionByName(moved).distinct())
         if cur.join(cur.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and cur.groupBy("v").count().where("count > 1").isEmpty():
             return cur.select(F.col("v").alias("node"), F.col("u").alias("root"))
+
+
+def spanning(n: int, good: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of the pairs i < j of 0 .. n - 1 for which good(i, [j, ...]) holds.
+
+    Every pair is tried unless links found before already join its two ends, so the
+    components are those of all pairs, and a group of near copies costs one row of it.
+    """
+    label, a, b = np.arange(n), [], []
+    for c in range(n - 1):
+        rest = c + 1 + np.flatnonzero(label[c + 1:] != label[c])
+        if not len(rest):
+            continue
+        hit = rest[good(c, rest)]
+        if len(hit):
+            gone, first = np.unique(label[hit], return_index=True)
+            a.append(np.full(len(first), c))
+            b.append(hit[first])
+            label[np.isin(label, gone)] = label[c]
+            if (label == label[c]).all():
+                break
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+
+
+def pair_parts(rows: DataFrame, own: str, most: int, task_rows: int) -> DataFrame:
+    """rows (root, ...) with `part` and `task`: any two rows of a root meet in a part; parts of one task come together.
+
+    Up to `most` rows a root are one part. More are dealt by hash of `own` into chunks
+    of about that many, with one part for every two chunks, so no task holds a large root.
+    """
+    counts = rows.groupBy("root").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
+    dealt = rows.join(counts, "root").withColumn("chunk", F.pmod(F.xxhash64(own, F.lit(3)), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("part", F.xxhash64("root", F.least("chunk", "other"), F.greatest("chunk", "other")))
+    n = counts.join(rows.groupBy("root").count(), "root").agg(F.sum(F.col("count") * F.col("chunks"))).first()[0] or 0
+    return dealt.withColumn("task", F.pmod(F.xxhash64("part", F.lit(1)), F.lit(max(1, -(-n // task_rows))))).drop("chunks", "chunk", "other")

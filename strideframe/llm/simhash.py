@@ -6,7 +6,7 @@ A null name counts as empty. Repeated rows and equal names are ordinary rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.components import star_forest
+from strideframe.llm.components import pair_parts, spanning, star_forest
 from strideframe.llm.tables import settle
 
 RADIUS = 3
@@ -23,7 +23,10 @@ RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIRS = tuple(combinations(range(5), 2))
 TASK_ROWS = 100_000
-BINS = 64
+# MinHash values of a name's shingles: at a similarity of 0.8 two names share none of the bands in one of 13,000 pairs.
+BANDS, DEPTH = 24, 5
+MARKS = BANDS * DEPTH
+PART_ROWS = 5000
 
 
 # ---- fingerprints -------------------------------------------------------------------------------
@@ -94,35 +97,51 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_prints(names: list[str | None], seeds: int, words: int) -> tuple[np.ndarray, list[bytes]]:
-    """Per name `seeds` SimHashes of its set of words, and a one-byte-per-bin MinHash sketch of its shingles."""
+def shingle_sets(names: list[str | None], words: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Per name the codes of its set of words and the sorted 64-bit hashes of its set of word shingles; the words' hashes by code.
+
+    A name shorter than `words` words is one shingle, one without words has none.
+    """
     code: dict[bytes, int] = {}
-    prints = np.zeros((len(names), seeds), np.uint64)
-    sketches = np.full((len(names), BINS), 2**64 - 1, np.uint64)
     seqs = [np.fromiter((code.setdefault(w, len(code)) for w in _words(name)), np.int64) for name in names]
     base = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in code), np.uint64, len(code))
-    sets = [np.unique(s) for s in seqs]
+    shingles = []
+    for s in seqs:
+        n = max(1, len(s) - words + 1) if len(s) else 0
+        h = np.zeros(n, np.uint64)
+        for j in range(min(words, len(s))):
+            h = h * np.uint64(0x100000001B3) + base[s[j:j + n]]
+        shingles.append(np.unique(_mix(h, 99)))
+    return [np.unique(s) for s in seqs], shingles, base
+
+
+def word_prints(names: list[str | None], seeds: int, words: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Per name `seeds` SimHashes of its set of words, BANDS keys of DEPTH MinHash values of its shingles each, and a byte of every value."""
+    prints = np.zeros((len(names), seeds), np.uint64)
+    sets, shingles, base = shingle_sets(names, words)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
     counts = np.array([len(s) for s in sets], np.int64)
     for k in range(seeds):
         prints[:, k] = _majority(_mix(base, k)[flat], counts)
-    for i, s in enumerate(seqs):
-        if not len(s):
-            continue
-        n = max(1, len(s) - words + 1)
-        h = np.zeros(n, np.uint64)
-        for j in range(min(words, len(s))):
-            h = h * np.uint64(0x100000001B3) + base[s[j:j + n]]
-        h = _mix(h, 99)
-        np.minimum.at(sketches[i], (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(6))
-    empty = sketches == 2**64 - 1
-    marks = (_mix(sketches, 7) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
-    marks[empty] = 0
-    return prints, [m.tobytes() for m in marks]
+    least = np.full((len(names), MARKS), 2**64 - 1, np.uint64)
+    full = np.flatnonzero([len(s) for s in shingles])
+    if len(full):
+        hashes = np.concatenate(shingles)
+        sizes = np.array([len(shingles[i]) for i in full])
+        starts = np.cumsum(sizes) - sizes
+        factors = _mix(np.arange(MARKS, dtype=np.uint64), 17) | np.uint64(1)
+        for k in range(MARKS):
+            least[full, k] = np.minimum.reduceat((hashes ^ (hashes >> np.uint64(31))) * factors[k], starts)
+    keys = np.zeros((len(names), BANDS), np.uint64)
+    for j in range(DEPTH):
+        keys = _mix(keys + least[:, j::DEPTH], j)
+    marks = (_mix(least, 7) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    marks[counts == 0] = 0
+    return prints, keys, [m.tobytes() for m in marks]
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated shingle similarity of paired sketch rows (bins empty in both do not count)."""
+    """Estimated shingle similarity of paired sketch rows (1 for two names without words)."""
     used = ((a > 0) | (b > 0)).sum(1)
     same = ((a == b) & (a > 0)).sum(1)
     raw = same / np.maximum(1, used)
@@ -189,22 +208,13 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The ranges lo[i] .. lo[i] + n[i] - 1, one after another."""
-    ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(lo, n)
-
-
-def bk_links(key: np.ndarray, prints: np.ndarray, item: np.ndarray, sketch: np.ndarray | None, least: float,
-             radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def bk_links(key: np.ndarray, prints: np.ndarray, item: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """(item, item of its group's first member) for items whose fingerprints lie within `radius` bits under one key.
 
-    With sketches only pairs of estimated similarity `least` or more are linked. The
-    links span each component, so their number is linear; no list of pairs is built.
+    The links span each component, so their number is linear; no list of pairs is built.
     """
     order = np.lexsort((item, prints, key))
     key, prints, item = key[order], prints[order], item[order]
-    sketch = None if sketch is None else sketch[order]
     n = len(key)
     if not n:
         return item, item
@@ -212,51 +222,19 @@ def bk_links(key: np.ndarray, prints: np.ndarray, item: np.ndarray, sketch: np.n
     lo = np.flatnonzero(new)
     size = np.diff(np.r_[lo, n])
     forest = BkForest(key[lo], prints[lo])
-    label = np.arange(n)
-    if sketch is None:
-        label = np.repeat(lo, size)
+    label = np.repeat(lo, size)
     group_size = np.bincount(np.unique(key[lo], return_inverse=True)[1])
     chunk = int(max(16, 400_000 // group_size.max()))
     several = np.r_[True, key[lo][1:] != key[lo][:-1]]
     alone = several & np.r_[several[1:], True] & (size == 1)
     asked = np.flatnonzero(~alone)
     for at in range(0, len(asked), chunk):
-        some = asked[at:at + chunk]
-        a, b = forest.near(some, radius)
-        if sketch is None:
-            label = _join_labels(label, lo[a], lo[b])
-            continue
-        a, b = np.r_[a, some], np.r_[b, some]
-        for p in range(0, len(a), 4096):
-            for x, y in _item_pairs(lo, size, a[p:p + 4096], b[p:p + 4096]):
-                open_ = label[x] != label[y]
-                x, y = x[open_], y[open_]
-                good = alike(sketch[x], sketch[y]) >= least
-                label = _join_labels(label, x[good], y[good])
+        a, b = forest.near(asked[at:at + chunk], radius)
+        label = _join_labels(label, lo[a], lo[b])
     linked = label != np.arange(n)
     return item[linked], item[label[linked]]
 
 
-def _item_pairs(lo, size, a, b, most: int = 200_000):
-    """Index pairs of the items of paired fingerprints, in pieces of bounded length."""
-    for i in np.flatnonzero(size[a] * size[b] > most):
-        for x in range(lo[a[i]], lo[a[i]] + size[a[i]]):
-            for y in range(lo[b[i]], lo[b[i]] + size[b[i]], most):
-                ys = np.arange(y, min(y + most, lo[b[i]] + size[b[i]]))
-                yield np.full(len(ys), x), ys
-    rest = size[a] * size[b] <= most
-    a, b = a[rest], b[rest]
-    start = 0
-    total = np.cumsum(size[a] * size[b])
-    while start < len(a):
-        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most)))
-        p, q = a[start:stop], b[start:stop]
-        x = _expand(lo[p], size[p])
-        n_y = np.repeat(size[q], size[p])
-        yield np.repeat(x, n_y), _expand(np.repeat(lo[q], size[p]), n_y)
-        start = stop
-
-
 def _block(col, i: int):
     start, width = BLOCKS[i]
     return F.shiftrightunsigned(col, start).bitwiseAND(F.lit((1 << width) - 1))
@@ -301,7 +279,7 @@ def near_prints(prints: DataFrame, most: int = 20_000, radius: int = RADIUS) ->
     """
     def run(t: pa.Table) -> pa.Table:
         fp = t.column("fingerprint").to_numpy().view(np.uint64)
-        a, b = bk_links(t.column("key").to_numpy(), fp, fp.view(np.int64), None, 0.0, radius)
+        a, b = bk_links(t.column("key").to_numpy(), fp, fp.view(np.int64), radius)
         return pa.table({"a": a, "b": b})
 
     some = prints.select("fingerprint").where("fingerprint IS NOT NULL").distinct()
@@ -328,47 +306,80 @@ def near_copies(facilities: DataFrame, words: int = 5, least: float = 0.8, seeds
     """(facility_id, group_id): the smallest facility_id of each group of names whose word shingles are alike by `least` or more.
 
     A single SimHash of five-word shingles differs in about ten bits at a similarity
-    of 0.8, so candidates come from `seeds` SimHashes of the set of words, of which
-    one at least lies within 3 bits for near copies (0.98 of pairs, measured); then
-    the similarity of the `words`-word shingles is estimated from 64 MinHash bins.
+    of 0.8, so candidates come from `seeds` SimHashes of the set of words within 3
+    bits, and from BANDS keys of DEPTH MinHash values of the shingles: these hold for
+    a passage cut or added as for scattered words. Names that candidates join are
+    split by the similarity that MARKS MinHash bytes estimate.
     Exact copies count as one name. Nothing is capped or sampled.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                prints, sketches = word_prints(part.column("name").to_pylist(), seeds, words)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("facility_id"), part.column("copy"), pa.array(list(prints.view(np.int64)), pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["facility_id", "copy", "prints", "sketch"])
+                prints, keys, sketches = word_prints(part.column("name").to_pylist(), seeds, words)
+                lists = [pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in (prints, keys)]
+                yield pa.RecordBatch.from_arrays([part.column("facility_id"), part.column("copy"), *lists, pa.array(sketches, pa.binary())],
+                                                 names=["facility_id", "copy", "prints", "keys", "sketch"])
 
     copies = facilities.select("facility_id", F.coalesce("name", F.lit("")).alias("name")).withColumn("copy", F.sha2("name", 256))
-    made = settle(copies.select("facility_id", "name", "copy").mapInArrow(run, "facility_id long, copy string, prints array<long>, sketch binary"))
-    items = settle(made.groupBy("copy").agg(F.min("facility_id").alias("item"), F.min("prints").alias("prints"), F.min("sketch").alias("sketch"))
+    made = settle(copies.select("facility_id", "name", "copy").mapInArrow(run, "facility_id long, copy string, prints array<long>, keys array<long>, sketch binary"))
+    items = settle(made.groupBy("copy").agg(F.min("facility_id").alias("item"), *[F.min(c).alias(c) for c in ("prints", "keys", "sketch")])
                 .where("item IS NOT NULL"))
-    spread = items.select("item", "sketch", F.posexplode("prints").alias("seed", "fingerprint"))
-    rows = 10 * seeds * items.count()
+    n_items = items.count()
 
-    def touched(t: pa.Table) -> pa.Table:
+    def near(t: pa.Table) -> pa.Table:
         fp, item = t.column("fingerprint").to_numpy().view(np.uint64), t.column("item").to_numpy()
-        a, b = bk_links(t.column("key").to_numpy(), fp, item, None, 0.0)
-        return pa.table({"item": np.unique(np.concatenate([a, b]))})
-
-    def verified(t: pa.Table) -> pa.Table:
-        fp, item = t.column("fingerprint").to_numpy().view(np.uint64), t.column("item").to_numpy()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        a, b = bk_links(t.column("key").to_numpy(), fp, item, sketch, least)
+        a, b = bk_links(t.column("key").to_numpy(), fp, item)
         return pa.table({"a": a, "b": b})
 
-    maybe = settle(_tasks(_keyed(spread.drop("sketch"), most), rows).select("task", "key", "fingerprint", "item").groupBy("task")
-                .applyInArrow(touched, "item long").distinct())
-    near = _tasks(_keyed(spread.join(maybe, "item"), most), 4 * rows).select("task", "key", "fingerprint", "item", "sketch")
-    forest = star_forest(near.groupBy("task").applyInArrow(verified, "a long, b long"))
+    def banded(t: pa.Table) -> pa.Table:
+        key, item = t.column("key").to_numpy(), t.column("item").to_numpy()
+        order = np.lexsort((item, key))
+        key, item = key[order], item[order]
+        first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
+        open_ = item != item[first]
+        return pa.table({"a": item[open_], "b": item[first][open_]})
+
+    spread = items.select("item", F.posexplode("prints").alias("seed", "fingerprint"))
+    by_bits = settle(_tasks(_keyed(spread, most), 10 * seeds * n_items).select("task", "key", "fingerprint", "item").groupBy("task")
+                     .applyInArrow(near, "a long, b long").distinct())
+    bands = items.select("item", F.posexplode("keys").alias("band", "key")).select("item", F.xxhash64("band", "key").alias("key"))
+    by_bands = settle(_tasks(bands, BANDS * n_items).select("task", "key", "item").groupBy("task").applyInArrow(banded, "a long, b long").distinct())
+    forest = settle(star_forest(by_bits.unionByName(by_bands)))
+    forest = settle(star_forest(_alike_links(items, forest, least)))
     named = items.select("copy", "item").join(forest.withColumnRenamed("node", "item"), "item", "left")
     named = named.select("copy", F.coalesce("root", "item").alias("group_id"))
     return made.select("facility_id", "copy").join(named, "copy", "left").select("facility_id", "group_id")
 
 
+def _members(items: DataFrame, forest: DataFrame) -> DataFrame:
+    """The rows of items (item, ...) in a component of two or more, with its root."""
+    whole = forest.select(F.col("node").alias("item"), "root").unionByName(forest.select(F.col("root").alias("item"), "root").distinct())
+    return items.join(whole, "item")
+
+
+def _by_part(t: pa.Table, links: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """(a, b): the links, as items, that `links` finds among the row numbers of each part."""
+    part, item = t.column("part").to_numpy(), t.column("item").to_numpy()
+    order = np.lexsort((item, part))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        x, y = links(own)
+        a.append(item[own[x]])
+        b.append(item[own[y]])
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _alike_links(items: DataFrame, forest: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that span what the sketches put at `least` or more inside the components of forest (node, root)."""
+    def run(t: pa.Table) -> pa.Table:
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, MARKS)
+        return _by_part(t, lambda own: spanning(len(own), lambda c, rest: alike(sketch[own[c]][None], sketch[own[rest]]) >= least))
+
+    rows = settle(_members(items.select("item", "copy", "sketch"), forest))
+    return pair_parts(rows, "copy", PART_ROWS, 4 * PART_ROWS).select("task", "part", "item", "sketch").groupBy("task").applyInArrow(run, "a long, b long")
+
+
 def without_near_copies(facilities: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of `facilities`, all columns, that are the first of their group of near copies.
 

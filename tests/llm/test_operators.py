@@ -354,6 +354,27 @@ def test_near_copies(spark):
     assert simhash.without_near_copies(none(spark)).count() == 0
 
 
+def _shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def _near(a, b):
+    return len(a & b) / len(a | b) >= 0.8
+
+
+def test_near_copies_hold_for_cuts_and_additions(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(2000)]
+    base = [rng.choices(words, k=rng.choice((60, 150, 400))) for _ in range(90)]
+    change = (lambda w: w[:int(len(w) * 0.9) + 1], lambda w: w + rng.choices(words, k=len(w) // 10), lambda w: w[len(w) // 10:])
+    near = [change[i % 3](w) for i, w in enumerate(base)]
+    data = [(i, " ".join(w)) for i, w in enumerate(base)] + [(100 + i, " ".join(w)) for i, w in enumerate(near)]
+    assert all(_near(_shingles(data[i][1]), _shingles(data[90 + i][1])) for i in range(90))
+    got = {r.facility_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(data, "facility_id long, name string")).collect()}
+    assert got == {i: i % 100 for i in got} and len(got) == 180
+
+
 # ---- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, sf):
