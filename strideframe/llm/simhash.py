@@ -27,6 +27,8 @@ TASK_ROWS = 100_000
 BANDS, DEPTH = 24, 5
 MARKS = BANDS * DEPTH
 PART_ROWS = 5000
+# An estimate from MARKS values deviates by 0.04 at a similarity of 0.8; below `least` - ROOM, five deviations, it discards.
+ROOM = 0.2
 
 
 # ---- fingerprints -------------------------------------------------------------------------------
@@ -309,7 +311,8 @@ def near_copies(facilities: DataFrame, words: int = 5, least: float = 0.8, seeds
     of 0.8, so candidates come from `seeds` SimHashes of the set of words within 3
     bits, and from BANDS keys of DEPTH MinHash values of the shingles: these hold for
     a passage cut or added as for scattered words. Names that candidates join are
-    split by the similarity that MARKS MinHash bytes estimate.
+    split by the similarity that MARKS MinHash bytes estimate at `least`
+    - ROOM or more, and then by the exact similarity of their sets of shingles.
     Exact copies count as one name. Nothing is capped or sampled.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +349,8 @@ def near_copies(facilities: DataFrame, words: int = 5, least: float = 0.8, seeds
     bands = items.select("item", F.posexplode("keys").alias("band", "key")).select("item", F.xxhash64("band", "key").alias("key"))
     by_bands = settle(_tasks(bands, BANDS * n_items).select("task", "key", "item").groupBy("task").applyInArrow(banded, "a long, b long").distinct())
     forest = settle(star_forest(by_bits.unionByName(by_bands)))
-    forest = settle(star_forest(_alike_links(items, forest, least)))
+    forest = settle(star_forest(_alike_links(items, forest, least - ROOM)))
+    forest = star_forest(_exact_links(copies, items, forest, words, least))
     named = items.select("copy", "item").join(forest.withColumnRenamed("node", "item"), "item", "left")
     named = named.select("copy", F.coalesce("root", "item").alias("group_id"))
     return made.select("facility_id", "copy").join(named, "copy", "left").select("facility_id", "group_id")
@@ -380,6 +384,36 @@ def _alike_links(items: DataFrame, forest: DataFrame, least: float) -> DataFrame
     return pair_parts(rows, "copy", PART_ROWS, 4 * PART_ROWS).select("task", "part", "item", "sketch").groupBy("task").applyInArrow(run, "a long, b long")
 
 
+def _exact_links(copies: DataFrame, items: DataFrame, forest: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): links that span the pairs whose sets of shingles are alike by `least` or more inside the components of forest (node, root).
+
+    The texts come to their component by join. Pairs that the sketches put below
+    `least` - ROOM are not compared.
+    """
+    def run(t: pa.Table) -> pa.Table:
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, MARKS)
+        sets: list[np.ndarray] = []
+        for at in range(0, t.num_rows, 1000):
+            sets += shingle_sets(t.column("name").slice(at, 1000).to_pylist(), words)[1]
+
+        def good(c: int, rest: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(rest), bool)
+            for k in np.flatnonzero(alike(sketch[c][None], sketch[rest]) >= least - ROOM):
+                x, y = sets[c], sets[rest[k]]
+                if min(len(x), len(y)) < (least - 1e-9) * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out[k] = both >= least * (len(x) + len(y) - both) - 1e-9
+            return out
+
+        return _by_part(t, lambda own: spanning(len(own), lambda c, rest: good(own[c], own[rest])))
+
+    rows = _members(items.select("item", "copy", "sketch"), forest)
+    texts = copies.select("copy", "name").join(rows.select("copy").distinct(), "copy", "left_semi").groupBy("copy").agg(F.first("name").alias("name"))
+    rows = settle(rows.join(texts, "copy"))
+    return pair_parts(rows, "copy", PART_ROWS, PART_ROWS).select("task", "part", "item", "sketch", "name").groupBy("task").applyInArrow(run, "a long, b long")
+
+
 def without_near_copies(facilities: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of `facilities`, all columns, that are the first of their group of near copies.
 

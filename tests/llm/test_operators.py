@@ -375,6 +375,24 @@ def test_near_copies_hold_for_cuts_and_additions(spark):
     assert got == {i: i % 100 for i in got} and len(got) == 180
 
 
+def test_near_copies_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_ROWS", 7)
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(2000)]
+    texts = []
+    for k in range(30):
+        w = rng.choices(words, k=rng.choice((20, 100, 300)))
+        for _ in range(4 if k else 20):
+            texts.append(" ".join(w))
+            cut, fresh = rng.uniform(0.06, 0.22), rng.uniform(0, 0.08)
+            w = w[int(len(w) * cut * (k % 2)):] if rng.random() < 0.5 else w[:int(len(w) * (1 - cut))] + rng.choices(words, k=int(len(w) * fresh))
+    sets = [_shingles(t) for t in texts]
+    near = np.array([[_near(a, b) for b in sets] for a in sets])
+    label = simhash._join_labels(np.arange(len(texts)), *np.nonzero(near))
+    got = {r.facility_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "facility_id long, name string")).collect()}
+    assert got == dict(enumerate(label.tolist())) and 30 < len(set(got.values())) < len(texts) - 20
+
+
 # ---- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, sf):
