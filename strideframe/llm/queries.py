@@ -73,7 +73,7 @@ def op5_place_quality(spark, sf_dir):
 
 
 def op6_edit_prints(spark, sf_dir):
-    return edits.prints_with_next(_places(spark, sf_dir)).withColumnRenamed("facility_id", "doc_id")
+    return edits.with_groups(edits.prints_with_next(_places(spark, sf_dir))).withColumnRenamed("facility_id", "doc_id")
 
 
 def op7_page_texts(spark, sf_dir):

@@ -216,6 +216,30 @@ def test_edit_prints_with_next(spark, monkeypatch):
     assert edits.prints_with_next(places(spark)).count() == len(ODD) and edits.prints_with_next(none(spark)).count() == 0
 
 
+def test_edit_groups_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(edits, "PART_ROWS", 50)
+    rng = random.Random(14)
+    texts = []
+    for size in (600, 30, 8) * 8:
+        base = "".join(rng.choices("abcdefghij klmno", k=size))
+        for _ in range(20):
+            t = list(base)
+            for _ in range(max(1, int(size * rng.uniform(0.01, 0.08)))):
+                t[rng.randrange(len(t))] = rng.choice("pqrs")
+            texts.append("".join(t))
+            base = rng.choice((base, texts[-1]))
+    texts += ["", "a", "ab", "a"]
+    prints = edits.walk_prints(texts)
+    label = np.arange(len(texts))
+    for i in range(len(texts)):
+        for j in np.flatnonzero(edits.likeness(prints[i][None], prints) >= 0.8):
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "facility_id long, name string")
+    got = {r.facility_id: r.group_id for r in edits.with_groups(edits.name_prints(df)).collect()}
+    assert got == dict(enumerate(label.tolist())) and 20 < len(set(got.values())) < len(texts) - 100
+    assert edits.with_groups(edits.name_prints(none(spark))).count() == 0
+
+
 # ---- pages --------------------------------------------------------------------------------------
 
 def test_pages_held_out_and_odd(spark):
