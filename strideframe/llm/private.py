@@ -19,7 +19,19 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+# Lengths of account numbers by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_START = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})"
+#: From a start on: the country's own length, else as far as capitals and digits go, up to a space before another start.
+IBAN_ENDS = (
+    "^(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])",
+    r"^[A-Z]{2}[0-9]{2}(?:(?:\x20(?![A-Z]{2}[0-9]{2}))?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+)
+IBAN_CHARS = 72
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 KINDS = {
@@ -27,13 +39,14 @@ KINDS = {
     "ip": (IP, "ip|host|server|address", 0.6),
     "card": (CARD, "card|visa|credit|payment", 0.7),
     "phone": (PHONE, "phone|call|tel|mobile", 0.6),
-    "iban": (IBAN, "iban|bank|account|konto", 0.8),
+    "iban": (IBAN_START, "iban|bank|account|konto", 0.8),
     "ssn": (SSN, "ssn|social|insurance", 0.3),
 }
 BASE = ("email", "ip", "card", "phone")
 CONTEXT_CHARS = 48
 CONTEXT_GAIN = 0.3
 THRESHOLD = 0.5
+_MATCHES = "array<struct<lo:int,hi:int,gap:string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -67,34 +80,74 @@ def _confirmed(kind: str, text: Column) -> Column:
         return _luhn(digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    if kind == "iban":
-        return _mod97(F.regexp_replace(text, " ", ""))
     return F.lit(True)
 
 
-def _spans(name: Column, kind: str, rank: int) -> Column:
-    """The confirmed spans of one kind: array of (lo, rank, hi, kind, score).
+def _matches(name: Column, pattern: str, kind: str) -> Column:
+    """The confirmed matches of a pattern: array of (lo, hi, gap), gap being the text back to the match before, null after an unconfirmed one.
 
     The text between matches gives their places: the parts of split() and the matches
     of regexp_extract_all() alternate.
     """
-    pattern, words, score = KINDS[kind]
-    may = {"email": F.contains(name, F.lit("@")), "phone": F.contains(name, F.lit("+")), "ssn": F.contains(name, F.lit("-"))}.get(kind, F.lit(True))
-    empty = F.array().cast("array<struct<lo:int,rank:int,hi:int,kind:string,score:double>>")
     parts = F.arrays_zip(F.split(name, pattern, -1).alias("gap"), F.regexp_extract_all(name, F.lit(pattern), F.lit(0)).alias("text"))
 
     def step(acc: Column, part: Column) -> Column:
         gap, text = part["gap"], part["text"]
         lo = acc["at"] + F.length(gap)
         hi = lo + F.coalesce(F.length(text), F.lit(0))
-        near = F.lower(F.right(gap, F.lit(CONTEXT_CHARS))).rlike(rf"(?:^|[^a-z])(?:{words})(?:[^a-z]|$)")
-        sure = F.lit(score) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
-        span = F.struct(lo.alias("lo"), F.lit(rank).alias("rank"), hi.alias("hi"), F.lit(kind).alias("kind"), F.least(sure, F.lit(1.0)).alias("score"))
-        good = text.isNotNull() & _confirmed(kind, text) & (F.lit(kind in BASE) | (sure >= THRESHOLD))
-        return F.struct(hi.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(may, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(empty)
+        good = text.isNotNull() & _confirmed(kind, text)
+        found = F.struct(lo.alias("lo"), hi.alias("hi"), F.when(acc["good"], gap).alias("gap"))
+        return F.struct(hi.alias("at"), good.alias("good"), F.when(good, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("good"), F.array().cast(_MATCHES).alias("out"))
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+
+def _account_matches(name: Column) -> Column:
+    """The account numbers that pass their checksum, as in _matches.
+
+    Every place where one can start is tried, so what only looks like a number hides
+    none that starts inside it: first the end that the country's length sets, then
+    the last capital or digit.
+    """
+    def step(acc: Column, part: Column) -> Column:
+        lo = acc["at"]
+        ahead = F.substr(name, lo + 1, F.lit(IBAN_CHARS))
+        ends = [F.regexp_extract(ahead, end, 0) for end in IBAN_ENDS]
+        passed = [F.when((end != "") & _mod97(F.regexp_replace(end, " ", "")), F.length(end)) for end in ends]
+        hi = lo + F.when(lo >= acc["until"], F.coalesce(*passed))
+        found = F.struct(lo.alias("lo"), hi.alias("hi"), F.when(acc["until"] > 0, F.substr(name, acc["until"] + 1, lo - acc["until"])).alias("gap"))
+        return F.struct((lo + F.length(part)).alias("at"), F.coalesce(hi, acc["until"]).alias("until"),
+                        F.when(hi.isNotNull(), F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("until"), F.array().cast(_MATCHES).alias("out"))
+    return F.aggregate(F.split(name, IBAN_START, -1), start, step, lambda acc: acc["out"])
+
+
+def _spans(name: Column, kind: str, rank: int) -> Column:
+    """The confirmed spans of one kind: array of (lo, rank, hi, kind, score).
+
+    A context word counts within CONTEXT_CHARS characters before the span.
+    """
+    pattern, words, score = KINDS[kind]
+    may = {"email": F.contains(name, F.lit("@")), "phone": F.contains(name, F.lit("+")), "ssn": F.contains(name, F.lit("-"))}.get(kind, F.lit(True))
+    empty = F.array().cast("array<struct<lo:int,rank:int,hi:int,kind:string,score:double>>")
+
+    def judge(m: Column) -> Column:
+        before = F.substr(name, F.greatest(m["lo"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(m["lo"], F.lit(CONTEXT_CHARS)))
+        near = F.lower(before).rlike(rf"(?:^|[^a-z])(?:{words})(?:[^a-z]|$)")
+        return F.struct(m["lo"].alias("lo"), m["hi"].alias("hi"), near.alias("near"))
+
+    found = F.transform(_account_matches(name) if kind == "iban" else _matches(name, pattern, kind), judge)
+
+    def span(m: Column) -> Column:
+        sure = F.lit(score) + F.when(m["near"], F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+        return F.struct(m["lo"].alias("lo"), F.lit(rank).alias("rank"), m["hi"].alias("hi"), F.lit(kind).alias("kind"), F.least(sure, F.lit(1.0)).alias("score"))
+
+    spans = F.transform(found, span)
+    if kind not in BASE:
+        spans = F.filter(spans, lambda s: s["score"] >= THRESHOLD)
+    return F.when(may, spans).otherwise(empty)
 
 
 def private_spans(facilities: DataFrame) -> DataFrame:

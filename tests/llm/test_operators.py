@@ -144,6 +144,21 @@ def test_checksums_context_and_redaction(spark):
     assert clean == ["pay [IBAN] now", texts[1], "ssn [SSN]", texts[3], "write [EMAIL], [PHONE].", None]
 
 
+def _all_spans(spark, texts):
+    df = private.private_spans(spark.createDataFrame(list(enumerate(texts)), "facility_id long, name string")).orderBy("facility_id")
+    return [[x for x in r.s.split(",") if x] for r in df.select(private.span_text(F.col("private_spans")).alias("s")).collect()]
+
+
+def test_account_numbers_end_at_their_length(spark):
+    numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+    texts = [f"{a}{n}{b}" for n in numbers for a in ("", "IBAN ", "AB12 ", "BE99 ") for b in ("", " BIC COBADEFF", " 2024-01-01", " A b", " now", ".", f" {numbers[1]}")]
+    got = _all_spans(spark, texts)
+    for text, spans in zip(texts, got, strict=True):
+        want = {f"iban:{m.start()}:{m.end()}" for n in numbers for m in re.finditer(n, text)}
+        assert {s for s in spans if s.startswith("iban")} == want, text
+    assert _all_spans(spark, ["DE88370400440532013000 BIC", "xDE89370400440532013000", "DE89370400440532013000x"]) == [[], [], []]
+
+
 # ---- pieces -------------------------------------------------------------------------------------
 
 def test_pieces_equal_the_model_and_round_trip(spark):
