@@ -45,8 +45,11 @@ KINDS = {
 BASE = ("email", "ip", "card", "phone")
 CONTEXT_CHARS = 48
 CONTEXT_GAIN = 0.3
+# What stands between two members of a list; they share their context.
+LIST_GAP = r"(?i)^[^\p{L}\p{N}]{1,16}(?:(?:and|or|und|[0-9]{1,3}[.)])[^\p{L}\p{N}]{1,8})?$"
 THRESHOLD = 0.5
 _MATCHES = "array<struct<lo:int,hi:int,gap:string>>"
+_FOUND = "array<struct<lo:int,hi:int,near:boolean,joined:boolean>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -124,10 +127,22 @@ def _account_matches(name: Column) -> Column:
     return F.aggregate(F.split(name, IBAN_START, -1), start, step, lambda acc: acc["out"])
 
 
+def _told(found: Column, backward: bool) -> Column:
+    """found (lo, hi, near, joined) in reverse order, where near goes on from one member of a list to the next."""
+    def step(acc: Column, m: Column) -> Column:
+        near = m["near"] | (acc["near"] & (acc["joined"] if backward else m["joined"]))
+        one = F.struct(m["lo"].alias("lo"), m["hi"].alias("hi"), near.alias("near"), m["joined"].alias("joined"))
+        return F.struct(near.alias("near"), m["joined"].alias("joined"), F.concat(F.array(one), acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(False).alias("near"), F.lit(False).alias("joined"), F.array().cast(_FOUND).alias("out"))
+    return F.aggregate(found, start, step, lambda acc: acc["out"])
+
+
 def _spans(name: Column, kind: str, rank: int) -> Column:
     """The confirmed spans of one kind: array of (lo, rank, hi, kind, score).
 
-    A context word counts within CONTEXT_CHARS characters before the span.
+    A context word counts within CONTEXT_CHARS characters before or after the span, or
+    at any other member of a list that the span belongs to.
     """
     pattern, words, score = KINDS[kind]
     may = {"email": F.contains(name, F.lit("@")), "phone": F.contains(name, F.lit("+")), "ssn": F.contains(name, F.lit("-"))}.get(kind, F.lit(True))
@@ -135,10 +150,12 @@ def _spans(name: Column, kind: str, rank: int) -> Column:
 
     def judge(m: Column) -> Column:
         before = F.substr(name, F.greatest(m["lo"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(m["lo"], F.lit(CONTEXT_CHARS)))
-        near = F.lower(before).rlike(rf"(?:^|[^a-z])(?:{words})(?:[^a-z]|$)")
-        return F.struct(m["lo"].alias("lo"), m["hi"].alias("hi"), near.alias("near"))
+        around = F.lower(F.concat(before, F.lit("\n"), F.substr(name, m["hi"] + 1, F.lit(CONTEXT_CHARS))))
+        near = around.rlike(rf"(?:^|[^a-z])(?:{words})(?:e?s)?(?:[^a-z]|$)")
+        return F.struct(m["lo"].alias("lo"), m["hi"].alias("hi"), near.alias("near"), F.coalesce(m["gap"].rlike(LIST_GAP), F.lit(False)).alias("joined"))
 
     found = F.transform(_account_matches(name) if kind == "iban" else _matches(name, pattern, kind), judge)
+    found = _told(_told(found, False), True)
 
     def span(m: Column) -> Column:
         sure = F.lit(score) + F.when(m["near"], F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
@@ -154,7 +171,7 @@ def private_spans(facilities: DataFrame) -> DataFrame:
     """All columns of `facilities` with private_spans: array of (lo, rank, hi, kind, score) by start, then kind.
 
     The base kinds (email, ip, card, phone) stay whatever their score; iban needs its
-    checksum, ssn a context word before it to reach the threshold.
+    checksum, ssn a context word near it or its list to reach the threshold.
     """
     name = F.coalesce("name", F.lit(""))
     return facilities.withColumn("private_spans", F.array_sort(F.concat(*[_spans(name, kind, i) for i, kind in enumerate(KINDS)])))

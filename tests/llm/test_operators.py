@@ -159,6 +159,14 @@ def test_account_numbers_end_at_their_length(spark):
     assert _all_spans(spark, ["DE88370400440532013000 BIC", "xDE89370400440532013000", "DE89370400440532013000x"]) == [[], [], []]
 
 
+def test_context_of_lists_and_trailing_words(spark):
+    one, two = "123-45-6789", "987-65-4321"
+    many = ", ".join(f"{i:03d}-45-6789" for i in range(100, 112))
+    texts = [f"SSN: {one}, {two}", f"{one} (SSN)", f"SSNs: {one}", f"SSNs: {many}", f"{many} are social insurance numbers", f"SSN {one}\n{two} and {one}",
+             f"run {one}, {two}", f"ssn {one}" + " x" * 60 + f" {two}", f"classn {one}"]
+    assert [len(s) for s in _all_spans(spark, texts)] == [2, 1, 1, 12, 12, 3, 0, 1, 0]
+
+
 # ---- pieces -------------------------------------------------------------------------------------
 
 def test_pieces_equal_the_model_and_round_trip(spark):
