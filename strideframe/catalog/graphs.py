@@ -10,6 +10,7 @@ from strideframe.catalog.base import rounded
 from strideframe.catalog.sqltext import D, cell, followable, mlon, r, weight
 from strideframe.functions import score
 from strideframe.operators import cells, graph
+from strideframe.plans import loops
 from strideframe.session import cut
 
 
@@ -24,10 +25,9 @@ def largest_component(spark, sf):
 PROFILES = {"w_df": (False, False), "w_dh": (False, True), "w_nf": (True, False), "w_nh": (True, True)}
 
 
-def by_profile():
-    """The routing weight of the search's profile, made followable; reads follow_* adjacency columns."""
-    night, hills = F.col("night"), F.col("hills")
-    return (F.when(night & hills, F.col("f_nh")).when(night, F.col("f_nf")).when(hills, F.col("f_dh")).otherwise(F.col("f_df")))
+def by_profile(search, arcs):
+    """The routing weight of the search's profile, made followable."""
+    yield arcs[loops.profile_column(search)]
 
 
 def follow_weights():
@@ -46,7 +46,7 @@ def searches(spark, sf):
 def _solved(spark, sf):
     s = cut(searches(spark, sf))
     adj = graph.adjacency(b.scored_edges(spark, sf), fx.road_node(spark, sf), follow_weights())
-    return s, graph.shortest_paths(s, adj, by_profile(), carry=["night", "hills"])
+    return s, graph.shortest_paths(s, adj, by_profile, loops.PROFILE_COLUMNS)
 
 
 def shortest_paths(spark, sf):

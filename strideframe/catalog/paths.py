@@ -8,7 +8,7 @@ from strideframe import fixtures as fx
 from strideframe.catalog import base as b
 from strideframe.catalog.base import rounded
 from strideframe.catalog.sqltext import (D, components, equi, hav, main_road_cost, mlon, r, rfs, seg_dist, seg_frac,
-                                         signed_turn, turn)
+                                         signed_turn, steady, turn)
 from strideframe.functions import geo, score
 from strideframe.operators import paths as op
 from strideframe.operators import shape_metrics as sm
@@ -200,7 +200,7 @@ def backtrack_fraction(spark, sf):
 def alley_share(spark, sf):
     t = traversed(spark, sf)
     cost = F.greatest(F.lit(0.0), score.main_road_cost() - 1.0) * F.col("length_m")
-    return t.groupBy("course_id").agg(geo.half_even(F.sum(cost) / F.greatest(F.sum("length_m"), F.lit(1.0))).alias("alley"))
+    return t.groupBy("course_id").agg(geo.half_even(geo.steady_sum(cost) / F.greatest(geo.steady_sum(F.col("length_m")), F.lit(1.0))).alias("alley"))
 
 
 def followability(spark, sf):
@@ -433,7 +433,7 @@ def _marks(first: float, every: float) -> str:
 
 
 _comp = components(False)
-_means = ", ".join(f"SUM({v} * length_m) / SUM(length_m) AS m_{c}" for c, v in _comp.items())
+_means = ", ".join(f"{steady(f'{v} * length_m')} / {steady('length_m')} AS m_{c}" for c, v in _comp.items())
 
 ORACLES = {
     "path_steps": sql("SELECT course_id, seq, node_id, next_id FROM path_step"),
@@ -475,11 +475,11 @@ ORACLES = {
       array_to_string(CASE WHEN {r('park_ratio')} >= 0.3 THEN list_slice(list_concat(['green'], list_filter(strong, lambda x: x <> 'park')), 1, 3) ELSE strong END, ',') AS highlights,
       {', '.join(f"{r(f'm_{c}', 4)} AS mean_{c}" for c in score.COMPONENTS)}
       FROM (SELECT *, list_transform(list_filter(list_slice(list_reverse_sort([{_rank_terms}]), 1, 3), lambda s: s.mean >= 0.6), lambda s: s.name) AS strong FROM (
-        SELECT course_id, SUM({rfs()} * length_m) / SUM(length_m) AS score01, {_means}, SUM(CASE WHEN park_score >= 0.8 THEN length_m ELSE 0 END) / SUM(length_m) AS park_ratio FROM edge_run GROUP BY 1))"""),
+        SELECT course_id, {steady(rfs() + ' * length_m')} / {steady('length_m')} AS score01, {_means}, {steady('CASE WHEN park_score >= 0.8 THEN length_m ELSE 0 END')} / {steady('length_m')} AS park_ratio FROM edge_run GROUP BY 1))"""),
     "path_metrics": sql(f"SELECT course_id, {r('length_m')} AS length_m, {r('ascent_m')} AS ascent_m FROM run_metrics"),
     "backtrack_fraction": sql(f"""SELECT course_id, {r('SUM(l * (c - 1)) / SUM(l * c)')} AS backtrack FROM (SELECT course_id, least(node_id, next_id) AS a, greatest(node_id, next_id) AS b_, COUNT(*) AS c, MAX(length_m) AS l
       FROM (SELECT * FROM edge_len UNION ALL SELECT * FROM edge_len WHERE seq % 2 = 0) GROUP BY 1, 2, 3) GROUP BY 1"""),
-    "alley_share": sql(f"SELECT course_id, {r(f'SUM(greatest({D(0.0)}, {main_road_cost()} - {D(1.0)}) * length_m) / greatest(SUM(length_m), {D(1.0)})')} AS alley FROM edge_run GROUP BY 1"),
+    "alley_share": sql(f"SELECT course_id, {r(steady(f'greatest({D(0.0)}, {main_road_cost()} - {D(1.0)}) * length_m') + f" / greatest({steady('length_m')}, {D(1.0)})")} AS alley FROM edge_run GROUP BY 1"),
     "followability": sql(f"""SELECT l.course_id, COALESCE(t.turns, 0) AS turns, COALESCE(t.sharp, 0) AS sharp, COALESCE(t.uturns, 0) AS uturns,
       {r(f"({D(0.6)} * COALESCE(t.turns, 0) + {D(1.6)} * COALESCE(t.sharp, 0) + {D(4.0)} * COALESCE(t.uturns, 0)) / greatest(l.length_m / 1000, {D(0.1)})")} AS penalty
       FROM (SELECT course_id, SUM(length_m) AS length_m FROM edge_run GROUP BY 1) l LEFT JOIN (

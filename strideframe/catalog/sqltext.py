@@ -14,6 +14,11 @@ def r(x: str, digits: int = 6) -> str:
     return f"(round_even(({x}) * {p}, 0) / {p} + {D(0.0)})"
 
 
+def steady(x: str) -> str:
+    """Sum of whole millionths."""
+    return f"(CAST(SUM(CAST(round_even(({x}) * {D(1e6)}, 0) AS BIGINT)) AS DOUBLE) / {D(1e6)})"
+
+
 def hav(a: str, b: str, c: str, d: str) -> str:
     sa = f"sin(radians({c} - {a}) / 2)"
     so = f"sin(radians({d} - {b}) / 2)"

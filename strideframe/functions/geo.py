@@ -19,6 +19,11 @@ def half_even(x: Column, digits: int = 6) -> Column:
     return F.rint(x * F.lit(p)) / F.lit(p) + F.lit(0.0)
 
 
+def steady_sum(x: Column) -> Column:
+    """Sum to a millionth that does not depend on the order of rows: whole millionths are added, so a later rounding finds no stray tie."""
+    return F.sum(F.rint(x * 1e6).cast("long")).cast("double") / 1e6
+
+
 def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 

@@ -133,30 +133,46 @@ def nearest_points(queries: DataFrame, points: DataFrame, *, size: float, links:
 _PAIR = ("q_lat", "q_lon", "point_id", "p_lat", "p_lon", "val")
 
 
+#: Widths, in cells, of the blocks through which ring_links comes down to single cells.
+BLOCKS = (16, 4, 1)
+
+
+def _gap(lo: Column, hi: Column, at: str) -> Column:
+    return F.greatest(lo - F.col(at), F.col(at) - hi, F.lit(0))
+
+
 def ring_links(queries: DataFrame, points: DataFrame, size: float, max_ring: int = 15) -> DataFrame:
-    """Cells searched by the ring rule: out to one ring past the first occupied one, at most max_ring.
+    """(qi, qj) -> (ci, cj): the occupied cells of the ring rule, out to one ring past the first occupied one, at most max_ring.
 
-    Works on distinct cells only. Cells still without a hit are retried with a wider square.
+    Works on distinct cells only. A query cell begins with the occupied blocks of 16
+    x 16 cells around it and comes down to blocks of 4 x 4 and to cells. On each
+    level the nearest block whose far side is known bounds the first hit, and blocks
+    beyond one ring more are left behind, so empty land costs no rows.
     """
-    occupied = points.select(geo.cell(F.col("lat"), size).alias("ci"), geo.cell(F.col("lon"), size).alias("cj")).distinct()
-    pending = queries.select(geo.cell(F.col("lat"), size).alias("qi"), geo.cell(F.col("lon"), size).alias("qj")).distinct()
-    found = None
-    for reach in (1, 4, max_ring):
-        seen = (pending.select("qi", "qj", F.explode(square(reach)).alias("o"))
-                .withColumns({"ci": F.col("qi") + F.col("o.di"), "cj": F.col("qj") + F.col("o.dj")})
-                .join(occupied, ["ci", "cj"], "left_semi")
-                .groupBy("qi", "qj").agg(F.min(F.greatest(F.abs("o.di"), F.abs("o.dj"))).alias("hit")))
-        found = seen if found is None else found.unionByName(seen)
-        pending = pending.join(seen, ["qi", "qj"], "left_anti")
-        if reach == max_ring or not any_row(pending):
-            break
-        pending = cut(pending)
-    ring = F.least(F.col("hit") + 1, F.lit(max_ring))
-    return (found.withColumn("r", ring)
-            .select("qi", "qj", F.explode(F.expr("sequence(-r, r)")).alias("di"), "r")
-            .select("qi", "qj", "di", F.explode(F.expr("sequence(-r, r)")).alias("dj"))
-            .select("qi", "qj", (F.col("qi") + F.col("di")).alias("ci"), (F.col("qj") + F.col("dj")).alias("cj"))
-            .join(occupied, ["ci", "cj"], "left_semi"))
+    occupied = cut(points.select(geo.cell(F.col("lat"), size).alias("ci"), geo.cell(F.col("lon"), size).alias("cj")).distinct())
+    first = BLOCKS[0]
+    reach = -(-max_ring // first)
+    at = queries.select(geo.cell(F.col("lat"), size).alias("qi"), geo.cell(F.col("lon"), size).alias("qj")).distinct()
+    live = at.select("qi", "qj", F.explode(square(reach)).alias("o")).select(
+        "qi", "qj", (F.floor(F.col("qi") / first) + F.col("o.di")).alias("bi"), (F.floor(F.col("qj") / first) + F.col("o.dj")).alias("bj"))
+    per_query = Window.partitionBy("qi", "qj")
+    for k, width in enumerate(BLOCKS):
+        names = ["bi", "bj"] + (["pi", "pj"] if k else [])
+        own = [F.floor(F.col("ci") / width).alias("bi"), F.floor(F.col("cj") / width).alias("bj")]
+        parent = [F.floor(F.col("ci") / BLOCKS[k - 1]).alias("pi"), F.floor(F.col("cj") / BLOCKS[k - 1]).alias("pj")] if k else []
+        blocks = occupied.select(*own, *parent).distinct()
+        if k:
+            live = live.select("qi", "qj", F.col("bi").alias("pi"), F.col("bj").alias("pj")).join(blocks, ["pi", "pj"])
+        else:
+            live = live.join(blocks, names)
+        lo = {c: F.col(f"b{c}") * width for c in "ij"}
+        hi = {c: lo[c] + width - 1 for c in "ij"}
+        near = F.greatest(*[_gap(lo[c], hi[c], f"q{c}") for c in "ij"])
+        # an occupied cell of the block lies no farther than the block's far side
+        far = F.greatest(*[F.greatest(F.abs(F.col(f"q{c}") - lo[c]), F.abs(F.col(f"q{c}") - hi[c])) for c in "ij"])
+        live = live.withColumns({"near": near, "hit": F.min(far).over(per_query)})
+        live = live.where(F.col("near") <= F.least(F.col("hit") + 1, F.lit(max_ring))).select("qi", "qj", "bi", "bj")
+    return live.withColumnsRenamed({"bi": "ci", "bj": "cj"})
 
 
 NODE_CELL = 0.002
@@ -173,22 +189,29 @@ def _plane_distance(lat, lon, plat, plon):
 def nearest_node(queries: DataFrame, nodes: DataFrame, max_ring: int = 15) -> DataFrame:
     """queries plus node_id and snap_m of the nearest node by the ring rule; null where none is in reach."""
     pts = _as_points(nodes)
-    links = ring_links(queries, pts, NODE_CELL, max_ring)
+    links = cut(ring_links(queries, pts, NODE_CELL, max_ring))
     best = nearest_points(queries, pts, size=NODE_CELL, links=links, metric=_plane_distance, digits=6)
     hit = best.select("q_lat", "q_lon", F.col("point_id").alias("node_id"), F.col("d").alias("snap_m"))
     return (queries.join(hit, (queries.lat == hit.q_lat) & (queries.lon == hit.q_lon), "left")
             .drop("q_lat", "q_lon"))
 
 
+def reach_links(queries: DataFrame, size: float, max_distance_m: float) -> DataFrame:
+    """(qi, qj) -> (ci, cj): the cells within max_distance_m of a query cell, at whatever latitude it lies."""
+    spots = queries.select(geo.cell(F.col("lat"), size).alias("qi"), geo.cell(F.col("lon"), size).alias("qj")).distinct()
+    tall = int(max_distance_m / (size * geo.M_PER_DEG_LAT)) + 1
+    # degrees of longitude are shortest on the side away from the equator
+    edge = F.least(F.greatest(F.abs(F.col("qi")), F.abs(F.col("qi") + 1)) * size + max_distance_m / geo.M_PER_DEG_LAT, F.lit(89.0))
+    wide = (F.floor(F.lit(max_distance_m) / (geo.m_per_deg_lon(edge) * size)) + 1).cast("long")
+    return (spots.withColumn("wide", wide).select("qi", "qj", "wide", F.explode(F.expr(f"sequence(-{tall}L, {tall}L)")).alias("di"))
+            .select("qi", "qj", "di", F.explode(F.expr("sequence(-wide, wide)")).alias("dj"))
+            .select("qi", "qj", (F.col("qi") + F.col("di")).alias("ci"), (F.col("qj") + F.col("dj")).alias("cj")))
+
+
 def nodes_within(queries: DataFrame, nodes: DataFrame, *, limit: int = 6, max_distance_m: float = 800.0) -> DataFrame:
     """The `limit` nearest nodes within max_distance_m of every query, ranked."""
-    import math
-
-    # narrowest cell of the supported latitudes decides how many cells the radius spans
-    narrow = NODE_CELL * min(geo.M_PER_DEG_LAT, geo.M_PER_DEG_LON_EQUATOR * math.cos(math.radians(37.72)))
-    reach = max(1, math.ceil(max_distance_m / narrow) + 1)
     pts = _as_points(nodes)
-    links = square_links(queries, NODE_CELL, reach)
+    links = cut(reach_links(queries, NODE_CELL, max_distance_m))
     best = nearest_points(queries, pts, size=NODE_CELL, links=links, k=limit, metric=_plane_distance,
                           within=max_distance_m, digits=6)
     hit = best.select("q_lat", "q_lon", F.col("point_id").alias("node_id"), F.col("d").alias("snap_m"), "rank")

@@ -247,11 +247,11 @@ def rfs_summary(edge_rows: DataFrame, night, hills, key: str = "course_id") -> D
     parts = score.component_values(hills)
     if not isinstance(night, bool):
         edge_rows = edge_rows.withColumn("_night", night)
-    total = F.sum(length)
+    total = geo.steady_sum(length)
     agg = edge_rows.groupBy(key).agg(
-        total.alias("length_m"), (F.sum(score.edge_rfs(night, hills) * length) / total).alias("score01"),
-        *[(F.sum(v * length) / total).alias(f"mean_{n}") for n, v in parts.items()],
-        (F.sum(F.when(F.coalesce("park_score", F.lit(0.0)) >= 0.8, length).otherwise(0.0)) / total).alias("park_ratio"),
+        total.alias("length_m"), (geo.steady_sum(score.edge_rfs(night, hills) * length) / total).alias("score01"),
+        *[(geo.steady_sum(v * length) / total).alias(f"mean_{n}") for n, v in parts.items()],
+        (geo.steady_sum(F.when(F.coalesce("park_score", F.lit(0.0)) >= 0.8, length).otherwise(0.0)) / total).alias("park_ratio"),
         *([] if isinstance(night, bool) else [F.max("_night").alias("_night")]))
     is_night = night if isinstance(night, bool) else F.col("_night")
     ranked = F.sort_array(F.array(*[

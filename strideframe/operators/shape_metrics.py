@@ -7,6 +7,8 @@ anchors may travel as one small array.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ SAMPLES = 64
 CROSS_CELL_M = 130.0
 OCCUPANCY_CELL_M = 130.0
 
+CHUNK_ROWS = 1024
+
 
 def dist(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return geo.hypot(bx - ax, by - ay)
@@ -195,30 +199,89 @@ def arc_position(points: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("arc", F.array_min(F.transform("sides", projected))["arc"]).drop("sides")
 
 
+def _chunks(df: DataFrame, line: Paths, *cols: str) -> DataFrame:
+    """(key, _c, rows): the line's rows in pieces of at most CHUNK_ROWS, so that a long line is never one row."""
+    return df.groupBy(line.key, F.expr(f"{line.seq} DIV {CHUNK_ROWS}").alias("_c")).agg(F.collect_list(F.struct(*cols)).alias("rows"))
+
+
+def _lists(batch: pa.RecordBatch, column: str, *fields: str) -> list[np.ndarray]:
+    """One matrix (elements, fields) per row of a column of struct arrays."""
+    values = batch.column(column)
+    flat, ends = values.flatten(), values.offsets.to_numpy()
+    table = np.stack([flat.field(f).to_numpy(zero_copy_only=False) for f in fields], axis=1) if len(flat) else np.zeros((0, len(fields)))
+    return np.split(table, (ends - ends[0])[1:-1])
+
+
+def _away(px: np.ndarray, py: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """(points, sides) distances; sides have the columns ax, ay, bx, by."""
+    ax, ay, bx, by = (sides[None, :, k] for k in range(4))
+    dx, dy = bx - ax, by - ay
+    len2 = dx * dx + dy * dy
+    t = np.clip(((px[:, None] - ax) * dx + (py[:, None] - ay) * dy) / np.where(len2 == 0, 1.0, len2), 0.0, 1.0)
+    t = np.where(len2 == 0, 0.0, t)
+    x, y = px[:, None] - (ax + t * dx), py[:, None] - (ay + t * dy)
+    return np.sqrt(x * x + y * y)
+
+
+def _deviations(key: str, kind: str):
+    def run(batches):
+        for batch in batches:
+            out = {key: batch.column(key), "total": [], "n": [], "away": []}
+            for rows, ring in zip(_lists(batch, "rows", "x", "y", "x2", "y2"), _lists(batch, "ring", "x", "y")):
+                outline = np.hstack([ring, np.roll(ring, -1, axis=0)])
+                out["total"].append(float(_away(rows[:, 0], rows[:, 1], outline).min(1).sum()))
+                out["n"].append(len(rows))
+                legs = rows[~np.isnan(rows[:, 2])]
+                out["away"].append(_away(ring[:, 0], ring[:, 1], legs).min(1).tolist() if len(legs) else None)
+            yield pa.RecordBatch.from_pydict({key: out[key], "total": pa.array(out["total"], pa.float64()), "n": pa.array(out["n"], pa.int64()),
+                                              "away": pa.array(out["away"], pa.list_(pa.float64()))})
+
+    return run, f"{key} {kind}, total double, n long, away array<double>"
+
+
 def similarity(line: Paths, anchors: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(key, similarity, feature_coverage, worst_feature). sizes: key, diameter_m."""
+    """(key, similarity, feature_coverage, worst_feature). sizes: key, diameter_m.
+
+    A piece of the line and the outline (at most MAX_ANCHORS points) are one row;
+    all their distances are one array operation, and pieces are folded per line.
+    """
     key = line.key
-    to_ring = line.df.select(key, "x", "y").join(anchor_sides(anchors, key), key)
-    dev_r = to_ring.groupBy(key).agg(F.avg(nearest_on_ring(F.col("x"), F.col("y"), F.col("sides"))).alias("dev_r"))
-    legs = line.shifted(x2=("x", 1), y2=("y", 1)).df.where(F.col("x2").isNotNull()).select(
-        key, F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
-    # at most MAX_ANCHORS rows per side of the line, folded on the map side
-    feature = (legs.join(anchors, key).groupBy(key, "a_seq").agg(
-        F.min(geo.segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).alias("away"))
-        .join(sizes.select(key, "diameter_m"), key))
-    per_key = feature.groupBy(key).agg(
-        F.avg("away").alias("dev_t"), F.max("diameter_m").alias("diameter_m"), F.max("away").alias("worst"),
-        F.avg(F.when(geo.half_even(F.col("away")) <= geo.half_even(F.col("diameter_m") * FEATURE_FRACTION), 1.0).otherwise(0.0)).alias("feature_coverage"))
-    dev = (F.col("dev_r") + F.col("dev_t")) / 2
-    return dev_r.join(per_key, key).select(
+    legs = line.shifted(x2=("x", 1), y2=("y", 1)).df
+    rings = anchors.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("a_seq", "x", "y"))).alias("ring"))
+    run, schema = _deviations(key, anchors.schema[key].dataType.simpleString())
+    parts = _chunks(legs, line, "x", "y", "x2", "y2").join(rings, key).select(key, "rows", "ring").mapInArrow(run, schema)
+    pieces = F.filter(F.collect_list("away"), lambda a: a.isNotNull())
+    away = F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))), F.get(pieces, F.lit(0)), lambda t, a: F.zip_with(t, a, lambda u, v: F.least(u, v)))
+    whole = parts.groupBy(key).agg((F.sum("total") / F.sum("n")).alias("dev_r"), away.alias("away")).join(sizes.select(key, "diameter_m"), key)
+    total = F.aggregate("away", F.lit(0.0), lambda t, a: t + a)
+    near = F.filter("away", lambda a: geo.half_even(a) <= geo.half_even(F.col("diameter_m") * FEATURE_FRACTION))
+    dev = (F.col("dev_r") + total / F.size("away")) / 2
+    return whole.where("away IS NOT NULL").select(
         key, F.greatest(F.lit(0.0), 1.0 - dev / (SIMILARITY_FRACTION * F.col("diameter_m"))).alias("similarity"),
-        "feature_coverage", (F.col("worst") / F.greatest(F.col("diameter_m"), F.lit(1.0))).alias("worst_feature"))
+        (F.size(near) / F.size("away")).alias("feature_coverage"), (F.array_max("away") / F.greatest(F.col("diameter_m"), F.lit(1.0))).alias("worst_feature"))
 
 
 def _sample_array(samples: DataFrame, key: str, out: str) -> DataFrame:
     """SAMPLES points per key as one array."""
-    return samples.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))),
-                                                lambda s: F.struct(s.x.alias("x"), s.y.alias("y"))).alias(out))
+    return samples.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias(out))
+
+
+def _turned(key: str, kind: str):
+    shift = (np.arange(SAMPLES)[:, None] + np.arange(SAMPLES)[None, :]) % SAMPLES
+
+    def run(batches):
+        for batch in batches:
+            best = []
+            for r, t in zip(_lists(batch, "r", "x", "y"), _lists(batch, "t", "x", "y")):
+                means = []
+                for samples in (r, r[::-1]):
+                    gap = samples[:, None, :] - t[None, :, :]
+                    apart = np.sqrt(gap[:, :, 0] * gap[:, :, 0] + gap[:, :, 1] * gap[:, :, 1])
+                    means.append(apart[shift, np.arange(SAMPLES)[None, :]].mean(1).min())
+                best.append(float(min(means)))
+            yield pa.RecordBatch.from_pydict({key: batch.column(key), "best": pa.array(best, pa.float64())})
+
+    return run, f"{key} {kind}, best double"
 
 
 def ordered_similarity(line: Paths, anchors: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -227,19 +290,11 @@ def ordered_similarity(line: Paths, anchors: DataFrame, sizes: DataFrame) -> Dat
     route = _sample_array(resample(open_ring(line), F.lit(SAMPLES)), key, "r")
     ring = Paths(anchors.withColumnRenamed("a_seq", "seq"), key, "seq", False)
     shape = _sample_array(resample(ring, F.lit(SAMPLES)), key, "t")
-    both = route.join(shape, key).join(sizes.select(key, "diameter_m"), key)
-
-    def deviation(direction):
-        samples = F.col("r") if direction > 0 else F.reverse("r")
-        turned = F.concat(samples, samples)
-        return F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda shift: F.aggregate(
-            F.zip_with(F.slice(turned, shift + 1, F.lit(SAMPLES)), F.col("t"),
-                       lambda a, b: F.sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))),
-            F.lit(0.0), lambda s, v: s + v) / SAMPLES)
-
-    best = F.least(F.array_min(deviation(1)), F.array_min(deviation(-1)))
-    score = F.greatest(F.lit(0.0), 1.0 - best / (ORDERED_FRACTION * F.greatest(F.col("diameter_m"), F.lit(1.0))))
-    return both.select(key, score.alias("ordered"))
+    run, schema = _turned(key, anchors.schema[key].dataType.simpleString())
+    whole = (F.size("r") == SAMPLES) & (F.size("t") == SAMPLES)  # a line without length has no samples
+    best = route.join(shape, key).where(whole).mapInArrow(run, schema).join(sizes.select(key, "diameter_m"), key)
+    score = F.greatest(F.lit(0.0), 1.0 - F.col("best") / (ORDERED_FRACTION * F.greatest(F.col("diameter_m"), F.lit(1.0))))
+    return best.select(key, score.alias("ordered"))
 
 
 def keep_corners(ring: Paths, budget: Column) -> DataFrame:

@@ -212,3 +212,39 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def append_results(results: DataFrame, path: str, batch: int) -> None:
     """One batch of a resumable build; a repeated batch replaces itself."""
     results.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def commit_rows(rows: DataFrame, path: str) -> int:
+    """Appends rows to the folder as a new batch and then commits it; returns the batch's number.
+
+    The batch is the folder batch=N under `rows`; its commit is a table of one row
+    under `commits`, written after it. What a job that was cut off left
+    behind has no commit, is not read, and its number is taken again.
+    """
+    spark = rows.sparkSession
+    last = _commits(spark, path).agg(F.max("batch")).first()[0]
+    batch = 0 if last is None else last + 1
+    append_results(rows, f"{path}/rows", batch)
+    spark.range(1).select(F.lit(batch).cast("long").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/{batch:09d}")
+    return batch
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    return _read_if_there(spark, f"{path}/commits/*", "batch long")
+
+
+def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet files that a path pattern leads to; an empty table if there are none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def committed_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all committed batches of a folder, with their batch."""
+    numbers = sorted(r.batch for r in _commits(spark, path).collect())  # one row a batch
+    if not numbers:
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/batch={n}" for n in numbers])
