@@ -5,7 +5,7 @@ pivotal bigrams. Bigrams are ranked by how many words hold them, rarest first. A
 word's prefix is its three first bigrams by rank; one edit touches at most two of
 them, and of two disjoint bigrams (the pivots) it leaves one whole. So if the prefix
 of one word reaches as far as that of a near one, it holds one of that word's pivots,
-at most one place off.
+at most one place off, and all on one side of it is equal in both.
 """
 
 from __future__ import annotations
@@ -55,29 +55,29 @@ def best_pivots(places: list[int], costs: list[int]) -> tuple[int, int]:
     return two
 
 
-_GRAMS = pa.schema([("word", pa.string()), ("length", pa.int32()), ("last_n", pa.int64()), ("last_gram", pa.string()), ("gram", pa.string()),
-                    ("place", pa.int32()), ("pivot", pa.bool_())])
+_GRAMS = pa.schema([("word", pa.string()), ("length", pa.int32()), ("last_n", pa.int64()), ("last_gram", pa.string()), ("place", pa.int32()), ("pivot", pa.bool_())])
 
 
-def _choose(batches):
-    """Rows (word, grams array<struct<place, gram, n>>) to the rows of their prefixes, pivots marked."""
+def _mark_pivots(batches):
+    """Rows (word, length, three, prefix; arrays of struct<n, gram, place> in rank order) to one row a bigram of the prefix, pivots marked."""
     for batch in batches:
-        out = {f.name: [] for f in _GRAMS}
-        for row in batch.to_pylist():
-            grams = [(g["n"], g["gram"], g["place"]) for g in row["grams"]]
-            three = sorted(grams)[:3]
-            last = three[2][:2]
-            by_place = sorted(three, key=lambda g: g[2])
-            pivots = {by_place[i][2] for i in best_pivots([g[2] for g in by_place], [g[0] for g in by_place])}
-            for n, gram, place in grams:
-                if (n, gram) <= last:
-                    for column, value in zip(out, (row["word"], len(grams) + 1, *last, gram, place, place in pivots)):
-                        out[column].append(value)
-        yield pa.RecordBatch.from_pydict(out, _GRAMS)
+        three, prefix = batch.column("three").flatten(), batch.column("prefix")
+        costs, places, grams = (three.field(c).to_pylist() for c in ("n", "place", "gram"))
+        counts = np.diff(prefix.offsets.to_numpy())
+        inner = prefix.flatten().field("place").to_numpy(zero_copy_only=False)
+        pivots = []
+        for k in range(batch.num_rows):
+            order = sorted(range(3 * k, 3 * k + 3), key=places.__getitem__)
+            pivots.append([places[order[i]] for i in best_pivots([places[i] for i in order], [costs[i] for i in order])])
+        pair = np.repeat(np.array(pivots, np.int64).reshape(-1, 2), counts, axis=0)
+        at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+        yield pa.RecordBatch.from_arrays([
+            batch.column("word").take(at), batch.column("length").take(at), pa.array(costs[2::3], pa.int64()).take(at), pa.array(grams[2::3], pa.string()).take(at),
+            pa.array(inner, pa.int32()), pa.array((inner == pair[:, 0]) | (inner == pair[:, 1]))], schema=_GRAMS)
 
 
 def prefix_grams(counts: DataFrame) -> DataFrame:
-    """(word, length, last_n, last_gram, gram, place, pivot): the prefix bigrams of every word, and which of them are its two pivots.
+    """(word, length, last_n, last_gram, place, pivot): the prefix bigrams of every word by their place, and which of them are its two pivots.
 
     The rank of a bigram is the number of its places in all words, then the bigram;
     `last_n` and `last_gram` are the third one's. Further places of bigrams up to
@@ -87,23 +87,34 @@ def prefix_grams(counts: DataFrame) -> DataFrame:
     two = F.transform(F.slice(F.col("signs"), 1, F.size("signs") - 1), lambda x, i: F.concat(x, F.get("signs", i + 1)))
     grams = counts.select("word", signs.alias("signs")).select("word", F.posexplode(two).alias("place", "gram"))
     n_words = cut(grams.groupBy("gram").agg(F.count("*").alias("n")))
-    named = grams.join(n_words, "gram").groupBy("word").agg(F.collect_list(F.struct("place", "gram", "n")).alias("grams"))
-    return named.mapInArrow(_choose, "word string, length int, last_n long, last_gram string, gram string, place int, pivot boolean")
+    ranked = grams.join(n_words, "gram").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "place"))).alias("ranked"))
+    three = ranked.select("word", (F.size("ranked") + 1).cast("int").alias("length"), F.slice("ranked", 1, 3).alias("three"), "ranked")
+    last = F.struct(F.col("three")[2]["n"], F.col("three")[2]["gram"])
+    prefix = F.filter("ranked", lambda g: F.struct(g["n"], g["gram"]) <= last)
+    return three.select("word", "length", "three", prefix.alias("prefix")).mapInArrow(
+        _mark_pivots, "word string, length int, last_n long, last_gram string, place int, pivot boolean")
 
 
 def near_words(counts: DataFrame) -> DataFrame:
     """(word, other): all pairs of words that differ by one inserted, deleted or replaced code point, in both directions.
 
-    Words need at least four code points. Keys are bigram, place and length, so a
-    bigram that many words hold is split by where it stands.
+    Words need at least four code points. The bigram that both words hold splits them:
+    the one edit lies before or behind it, and all on the other side is equal. So
+    pivots meet the prefixes of other words by length and by the text up to the
+    bigram's end, which fixes its place, or by the text from its start, which moves
+    it by as much as the lengths differ.
     """
     grams = cut(prefix_grams(counts))
-    # A bigram moves by one place only where a letter came in or fell out before it.
-    moves = F.array(*[F.struct(F.lit(a).alias("place"), F.lit(b).alias("length")) for a, b in ((0, -1), (0, 0), (0, 1), (1, 1), (-1, -1))])
-    pivots = grams.where("pivot").withColumn("move", F.explode(moves)).select(
-        F.col("word").alias("other"), F.struct("last_n", "last_gram").alias("other_last"), "gram", (F.col("place") + F.col("move.place")).alias("place"),
-        (F.col("length") + F.col("move.length")).alias("length"))
-    met = grams.join(pivots, ["gram", "place", "length"]).where("struct(last_n, last_gram) >= other_last AND word <> other")
+    start, end = F.substr("word", F.lit(1), F.col("place") + 2), F.substr("word", F.col("place") + 1)
+
+    def keyed(rows: DataFrame, length: Column) -> DataFrame:
+        key = F.explode(F.array(F.xxhash64(F.lit("start"), length, start), F.xxhash64(F.lit("end"), length, end))).alias("key")
+        return rows.select("word", "last_n", "last_gram", key)
+
+    held = keyed(grams, F.col("length"))
+    moved = grams.where("pivot").withColumn("other_length", F.explode(F.array(*[F.col("length") + d for d in (-1, 0, 1)])))
+    pivots = keyed(moved, F.col("other_length")).select(F.col("word").alias("other"), F.struct("last_n", "last_gram").alias("other_last"), "key")
+    met = held.join(pivots, "key").where("struct(last_n, last_gram) >= other_last AND word <> other")
     near = met.where(F.levenshtein("word", "other", 1) == 1).select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct()
     return near.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other")),
                                          F.struct(F.col("b").alias("word"), F.col("a").alias("other")))).alias("p")).select("p.*")
@@ -119,7 +130,7 @@ def spelling_forms(counts: DataFrame, factor: int = 5) -> DataFrame:
 
     Words are taken as they stand and must be different; null words, and those under
     four code points, are left out. An empty table gives none. Very long words are
-    compared in time proportional to their length. Further columns are dropped.
+    taken whole. Further columns are dropped.
     """
     own = cut(counts.where(F.length("word") >= 4).select("word", "n"))
     pairs = near_words(own).join(own.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
