@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.llm.tables import set_aside
 from strideframe.session import cut
 
 SAMPLE = 20_000
@@ -149,10 +150,15 @@ def judge(facilities: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def keep_good(facilities: DataFrame, verdicts: DataFrame, least: float = KEEP) -> DataFrame:
-    """The rows of `facilities`, all columns, whose quality is `least` or more; without verdicts of both kinds all rows."""
+    """The rows of `facilities`, all columns, whose quality is `least` or more; without verdicts of both kinds all rows.
+
+    Null names count as empty; an empty table gives none; repeated rows are judged
+    alike. Columns may have any further names.
+    """
+    facilities, back = set_aside(facilities, "judge_source", "judge_type", "judge_rate")
     model = learn(facilities, verdicts)
     if model["blind"]:
-        return facilities
+        return back(facilities)
     rates, rate = judge_rates(evidence(facilities.select("facility_id", "name", "source", "type"), model))
     side = F.broadcast(rates) if rates.count() <= BROADCAST_GROUPS else rates
     mean, scale, weight, bias = np.array(model["mean"]), np.array(model["scale"]), np.array(model["weight"]), model["bias"]
@@ -166,4 +172,5 @@ def keep_good(facilities: DataFrame, verdicts: DataFrame, least: float = KEEP) -
             yield b.select(names).filter(pa.array(1 / (1 + np.exp(-odds)) >= least))
 
     keyed = facilities.withColumns({"judge_source": F.coalesce("source", F.lit("")), "judge_type": F.coalesce("type", F.lit(""))})
-    return keyed.join(side, ["judge_source", "judge_type"]).select(*names, "judge_rate").mapInArrow(run, facilities.schema)
+    kept = keyed.join(side, ["judge_source", "judge_type"]).select(*names, "judge_rate").mapInArrow(run, facilities.schema)
+    return back(kept)

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.llm.tables import set_aside, without
 from strideframe.session import cut
 
 LIMIT = 16 * 2**20
@@ -57,7 +58,12 @@ def shard_courses(courses: DataFrame, limit: int = LIMIT) -> DataFrame:
     the limit only where one single row is larger than it, or rows with one hash
     (repeated rows), which are then dealt to numbered parts of it ("bits.part") whose
     sizes keep to the limit. The empty prefix is the shard of a table that fits whole.
+
+    Null ids and sizes are hashed as such, a null or negative size counts 0. An empty
+    table gives none. A column named shard is replaced; other columns stay, whatever
+    their names.
     """
+    courses, back = set_aside(without(courses, "shard"), "shard_mark", "shard_bits", "shard_size")
     size = F.greatest(F.coalesce(F.col("size_bytes").cast("long"), F.lit(0)), F.lit(0))
     keyed = courses.withColumn("shard_mark", hash_bits("course_id", "size_bytes"))
     slim = cut(keyed.select(F.col("shard_mark").alias("mark"), size.alias("size")))
@@ -73,7 +79,7 @@ def shard_courses(courses: DataFrame, limit: int = LIMIT) -> DataFrame:
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     number = F.floor(place / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), size))))
     part = F.when(single, F.concat_ws(".", "shard", F.spark_partition_id().cast("string"), number.cast("string"))).otherwise(F.col("shard"))
-    return out.withColumn("shard", part).drop("shard_mark")
+    return back(out.withColumn("shard", part).drop("shard_mark"))
 
 
 def shard_sizes(sharded: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.components import pair_parts, spanning, star_forest
-from strideframe.llm.tables import settle
+from strideframe.llm.tables import settle, without
 
 RADIUS = 3
 # Five blocks of a 64-bit fingerprint; with at most 3 differing bits two blocks at least are equal.
@@ -294,8 +294,10 @@ def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints (facility_id, fingerprint) with component_id, the smallest facility_id reachable over links of `radius` bits or fewer.
 
     Equal fingerprints are one node, so copies cost no links. Rows without an id get
-    the component of their fingerprint; an empty table gives an empty one.
+    the component of their fingerprint; an empty table gives an empty one. A column
+    named component_id is replaced.
     """
+    prints = without(prints, "component_id")
     nodes = settle(prints.groupBy("fingerprint").agg(F.min("facility_id").alias("first_id")))
     forest = star_forest(near_prints(nodes, radius=radius)).withColumnRenamed("node", "fingerprint")
     rooted = nodes.join(forest, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
