@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.operators import activity, nearby, paths, presets
 from strideframe.operators.paths import Paths
-from strideframe.plans import loops
+from strideframe.plans import loops, shape_courses
 from strideframe.plans import requests as rq
 from strideframe.sources import shapes
 
@@ -33,6 +33,21 @@ def decide_shape_courses(requests: DataFrame, preset_table: DataFrame) -> DataFr
     return presets.distance_decision(requests, preset_table)
 
 
+def plan_shape_courses(requests: DataFrame, preset_table: DataFrame, network: tuple[DataFrame, DataFrame], facilities: DataFrame, *, gazetteer, stations: DataFrame):
+    """(answers, paths, rejected) for requests with a place name or coordinates, and a shape, a distance or a duration, or none of them.
+
+    Answers name one way per request: serve, suggest, relocate, search, survey or refuse.
+    """
+    where = presets.resolve_locations(requests.select(F.col("request_id").alias("query_id"), "location", "lat", "lon"), gazetteer, stations)
+    placed = requests.drop("lat", "lon").join(where.withColumnRenamed("query_id", "request_id"), "request_id")
+    rejected = placed.where("error IS NOT NULL").select("request_id", F.col("error").alias("reason"))
+    timed = rq.with_defaults(placed.where("error IS NULL")).withColumn("distance_km", F.when(F.col("note") != "default", F.col("distance_km")))
+    fits = F.coalesce(F.col("distance_km").between(1.0, 42.195), F.lit(True))
+    rejected = rejected.unionByName(timed.where(~fits).select("request_id", F.lit("out of range").alias("reason")))
+    answers, walked = shape_courses.plan_shape_courses(timed.where(fits), preset_table, *network, facilities)
+    return answers, walked, rejected
+
+
 def shape_catalog(spark) -> DataFrame:
     return shapes.catalogue(spark)
 

@@ -204,7 +204,7 @@ def _chunks(df: DataFrame, line: Paths, *cols: str) -> DataFrame:
     return df.groupBy(line.key, F.expr(f"{line.seq} DIV {CHUNK_ROWS}").alias("_c")).agg(F.collect_list(F.struct(*cols)).alias("rows"))
 
 
-def _lists(batch: pa.RecordBatch, column: str, *fields: str) -> list[np.ndarray]:
+def matrices(batch: pa.RecordBatch, column: str, *fields: str) -> list[np.ndarray]:
     """One matrix (elements, fields) per row of a column of struct arrays."""
     values = batch.column(column)
     flat, ends = values.flatten(), values.offsets.to_numpy()
@@ -212,7 +212,7 @@ def _lists(batch: pa.RecordBatch, column: str, *fields: str) -> list[np.ndarray]
     return np.split(table, (ends - ends[0])[1:-1])
 
 
-def _away(px: np.ndarray, py: np.ndarray, sides: np.ndarray) -> np.ndarray:
+def distances(px: np.ndarray, py: np.ndarray, sides: np.ndarray) -> np.ndarray:
     """(points, sides) distances; sides have the columns ax, ay, bx, by."""
     ax, ay, bx, by = (sides[None, :, k] for k in range(4))
     dx, dy = bx - ax, by - ay
@@ -227,12 +227,12 @@ def _deviations(key: str, kind: str):
     def run(batches):
         for batch in batches:
             out = {key: batch.column(key), "total": [], "n": [], "away": []}
-            for rows, ring in zip(_lists(batch, "rows", "x", "y", "x2", "y2"), _lists(batch, "ring", "x", "y")):
+            for rows, ring in zip(matrices(batch, "rows", "x", "y", "x2", "y2"), matrices(batch, "ring", "x", "y")):
                 outline = np.hstack([ring, np.roll(ring, -1, axis=0)])
-                out["total"].append(float(_away(rows[:, 0], rows[:, 1], outline).min(1).sum()))
+                out["total"].append(float(distances(rows[:, 0], rows[:, 1], outline).min(1).sum()))
                 out["n"].append(len(rows))
                 legs = rows[~np.isnan(rows[:, 2])]
-                out["away"].append(_away(ring[:, 0], ring[:, 1], legs).min(1).tolist() if len(legs) else None)
+                out["away"].append(distances(ring[:, 0], ring[:, 1], legs).min(1).tolist() if len(legs) else None)
             yield pa.RecordBatch.from_pydict({key: out[key], "total": pa.array(out["total"], pa.float64()), "n": pa.array(out["n"], pa.int64()),
                                               "away": pa.array(out["away"], pa.list_(pa.float64()))})
 
@@ -266,19 +266,23 @@ def _sample_array(samples: DataFrame, key: str, out: str) -> DataFrame:
     return samples.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias(out))
 
 
-def _turned(key: str, kind: str):
-    shift = (np.arange(SAMPLES)[:, None] + np.arange(SAMPLES)[None, :]) % SAMPLES
+_SHIFTS = (np.arange(SAMPLES)[:, None] + np.arange(SAMPLES)[None, :]) % SAMPLES
+
+
+def best_turn(r: np.ndarray, t: np.ndarray) -> float:
+    """Least mean distance of two rings of SAMPLES points over every cyclic start and both directions."""
+    means = []
+    for samples in (r, r[::-1]):
+        gap = samples[:, None, :] - t[None, :, :]
+        apart = np.sqrt(gap[:, :, 0] * gap[:, :, 0] + gap[:, :, 1] * gap[:, :, 1])
+        means.append(apart[_SHIFTS, np.arange(SAMPLES)[None, :]].mean(1).min())
+    return float(min(means))
 
+
+def _turned(key: str, kind: str):
     def run(batches):
         for batch in batches:
-            best = []
-            for r, t in zip(_lists(batch, "r", "x", "y"), _lists(batch, "t", "x", "y")):
-                means = []
-                for samples in (r, r[::-1]):
-                    gap = samples[:, None, :] - t[None, :, :]
-                    apart = np.sqrt(gap[:, :, 0] * gap[:, :, 0] + gap[:, :, 1] * gap[:, :, 1])
-                    means.append(apart[shift, np.arange(SAMPLES)[None, :]].mean(1).min())
-                best.append(float(min(means)))
+            best = [best_turn(r, t) for r, t in zip(matrices(batch, "r", "x", "y"), matrices(batch, "t", "x", "y"))]
             yield pa.RecordBatch.from_pydict({key: batch.column(key), "best": pa.array(best, pa.float64())})
 
     return run, f"{key} {kind}, best double"
