@@ -287,40 +287,24 @@ def street_polyline(paths: Paths, nodes: DataFrame, edges: DataFrame) -> DataFra
     return drawn.select(key, seq, F.posexplode(pts).alias("part", "p")).select(key, seq, "part", "p.lat", "p.lon")
 
 
-def strip_out_and_back(nodes_array: Column) -> Column:
-    """Node array without immediate there-and-back spurs (a, b, a -> a), removed until none is left."""
-    def push(acc, x):
-        size = F.size(acc)
-        back = (size >= 2) & (F.get(acc, size - 2) == x)
-        return F.when(back, F.slice(acc, F.lit(1), size - 1)).otherwise(F.concat(acc, F.array(x)))
-
-    empty = F.slice(nodes_array, 1, 0)
-    return F.aggregate(nodes_array, empty, push)
-
-
 def strip_spurs(paths: Paths, chunk: int = CHUNK) -> DataFrame:
-    """(course_id, seq, node_id): every path without immediate there-and-back spurs.
+    """(course_id, seq, node_id): every path without immediate there-and-back spurs (a, b, a -> a), removed until none is left.
 
-    Removing spurs is a free reduction, so pieces can be reduced on their own.
-    Rows are folded per piece of the path; pieces are then joined and folded
-    again with pieces twice as long, until every path is one piece. Pieces
-    overlap by one node, so the turn between them is seen.
+    Scans over pieces of `chunk` rows and one aggregation; no path is ever one row,
+    and the work grows with the number of rows (see operators.spurs).
     """
+    from strideframe.operators import spurs
+
     key, seq = paths.key, paths.seq
-    pieces = (paths.df.withColumn("_c", F.explode(F.expr(
-        f"CASE WHEN {seq} > 0 AND {seq} % {chunk} = 0 THEN array({seq} DIV {chunk} - 1, {seq} DIV {chunk}) ELSE array({seq} DIV {chunk}) END")))
-        .groupBy(key, "_c").agg(F.array_sort(F.collect_list(F.struct(seq, "node_id"))).alias("r"))
-        .select(key, "_c", strip_out_and_back(F.col("r.node_id")).alias("r")))
-    top = 0
-    if paths.long or chunk != CHUNK:
-        top = pieces.agg(F.max("_c")).first()[0] or 0
-    while top > 0:
-        paired = pieces.groupBy(key, F.expr("_c DIV 2").alias("_c")).agg(
-            F.array_sort(F.collect_list(F.struct("_c", "r"))).alias("two"))
-        left, right = F.col("two")[0]["r"], F.get(F.col("two"), F.lit(1))["r"]
-        # only the seam can still cancel: drop the shared node and fold the right side onto the left
-        joined = F.when(right.isNull(), left).otherwise(
-            strip_out_and_back(F.concat(left, F.slice(right, F.lit(2), F.size(right)))))
-        pieces = paired.select(key, "_c", joined.alias("r"))
-        top //= 2
-    return pieces.select(key, F.posexplode("r").alias(seq, "node_id"))
+    several = paths.long or chunk != CHUNK
+    steps = paths.over(paths.df.select(key, seq, "node_id")).shifted(before_id=("node_id", -1)).df
+    at = paths.over(spurs.places(steps, key, seq, chunk, several))
+    kept = spurs.kept_rows(spurs.heights(at, key, seq), key, seq, chunk, several)
+    # positions are the number of kept rows before a row
+    if not several:
+        return kept.withColumn(seq, F.row_number().over(Window.partitionBy(key).orderBy(seq)) - 1)
+    pieces = kept.withColumn("_c", F.expr(f"{seq} DIV {chunk}"))
+    before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pieces.groupBy(key, "_c").agg(F.count("*").alias("_n")).select(key, "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    own = F.row_number().over(Window.partitionBy(key, "_c").orderBy(seq)) - 1
+    return pieces.withColumn("_own", own).join(sizes, [key, "_c"]).select(key, (F.col("_own") + F.col("_skip")).alias(seq), "node_id")
