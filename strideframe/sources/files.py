@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strideframe.functions import geo
 
 # --- fixed values -----------------------------------------------------------
-ENCODINGS = ("UTF-8", "x-windows-949", "EUC-KR")
+ENCODINGS = ("UTF-8", "cp949", "euc_kr")
 LAT_WORDS, LON_WORDS = ("위도", "lat", "y좌표", "ycoord"), ("경도", "lon", "x좌표", "xcoord")
 X_WORDS, Y_WORDS = ("x좌표", "x"), ("y좌표", "y")
 ROUTE_WORDS, WIDTH_WORDS = ("노선명",), ("폭",)
@@ -22,16 +26,54 @@ PRESET_FORMAT = 1
 # ----------------------------------------------------------------------------
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, in the first encoding whose header decodes cleanly."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Korean code pages are outside the default list
-    for encoding in ENCODINGS:
-        df = spark.read.csv(path, header=True, encoding=encoding)
-        if not any("�" in c for c in df.columns):
-            return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+def _code_page(spark: SparkSession, path: str) -> str:
+    """The first of ENCODINGS in which every line of the files decodes; one pass over their bytes."""
+    def tally(batches):
+        for batch in batches:
+            bad = [0] * len(ENCODINGS)
+            for line in batch.column("line").to_pylist():
+                if line.isascii():
+                    continue
+                for k, encoding in enumerate(ENCODINGS):
+                    try:
+                        line.decode(encoding)
+                    except UnicodeDecodeError:
+                        bad[k] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()) for b in bad], names=[f"bad{k}" for k in range(len(ENCODINGS))])
+
+    # The text source hands on the bytes of a line as they are.
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("line"))
+    bad = lines.mapInArrow(tally, ", ".join(f"bad{k} long" for k in range(len(ENCODINGS)))).agg(*[F.sum(f"bad{k}") for k in range(len(ENCODINGS))]).first()
+    for encoding, n in zip(ENCODINGS, bad):
+        if not n:
+            return encoding
     raise ValueError(f"no known encoding fits {path}")
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, all columns as text, in the first encoding in which the whole file decodes.
+
+    UTF-8 is read by Spark's own reader. Lines of other code pages are decoded in
+    Arrow batches and then parsed; a record may not go over several lines there.
+    """
+    encoding = _code_page(spark, path)
+    if encoding == "UTF-8":
+        df = spark.read.csv(path, header=True)
+        return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+
+    def decode(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([line.decode(encoding) for line in batch.column("line").to_pylist()], pa.string())], names=["line"])
+
+    raw = spark.read.text(path)
+    lines = raw.select(F.col("value").cast("binary").alias("line")).mapInArrow(decode, "line string").where("line <> ''")
+    header = lines.first()[0]
+    names = next(csv.reader([header]))
+    schema = StructType([StructField(f"c{k}", StringType()) for k in range(len(names))])
+    parsed = lines.where(F.col("line") != header).select(F.from_csv("line", schema.simpleString()[7:-1].replace(":", " ")).alias("r"))
+    return parsed.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(names)])
+
+
 def find_column(columns: list[str], *words: str) -> str:
     """First header that contains any of the words."""
     for name in columns:

@@ -17,28 +17,48 @@ from strideframe.session import ensure_checkpoint_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _ordered(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    """One key's rows of this micro-batch in event order; state holds everything older."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(by), kind="stable")
+class _Kept(StatefulProcessor):
+    """One JSON value per key."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._value = handle.getValueState("value", "value string")
 
-class _Passport(StatefulProcessor):
-    """Last distinct courses of a user; a repeated course moves to the end."""
+    def load(self, empty):
+        kept = self._value.get()
+        return json.loads(kept[0]) if kept else empty
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._runs = handle.getValueState("runs", "seen long, runs string")
+    def save(self, value) -> None:
+        self._value.update((json.dumps(value),))
+
+    def close(self) -> None:
+        pass
+
+
+def _latest(runs: list[list], most: int) -> list[list]:
+    """The `most` last distinct courses of rows (ts, completion_id, course_key, ...), oldest first.
+
+    Whatever order rows come in, keeping only these loses nothing: a course that
+    others have pushed out can only come back by a newer row.
+    """
+    last = {r[2]: r for r in sorted(runs, key=lambda r: (r[0], r[1]))}
+    return sorted(last.values(), key=lambda r: (r[0], r[1]))[-most:]
+
+
+def _rows(batch: pd.DataFrame) -> list[list]:
+    """(ts, completion_id, course_key, shape, place) of a batch; times as fixed-width text, which sorts like time."""
+    return [[t, int(i), int(c), s, p] for t, i, c, s, p in zip(
+        batch["ts"].dt.strftime("%Y-%m-%dT%H:%M:%S.%f"), batch["completion_id"], batch["course_key"], batch["shape"], batch["place"])]
+
+
+class _Passport(_Kept):
+    """Last distinct courses of a user; a repeated course moves to the end. Late and unordered rows find their place."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = self._runs.get()
-        seen, runs = (kept[0], json.loads(kept[1])) if kept else (0, [])
+        seen, runs = self.load((0, []))
         for batch in rows:  # an Arrow batch at a time; the state never exceeds the cap by more than a batch
-            batch = batch.sort_values(["ts", "completion_id"], kind="stable")
             seen += len(batch)
-            new = [[str(t), int(i), int(c), s, p] for t, i, c, s, p in
-                   zip(batch["ts"], batch["completion_id"], batch["course_key"], batch["shape"], batch["place"])]
-            latest = {r[2]: r for r in sorted(runs + new, key=lambda r: (r[0], r[1]))}
-            runs = sorted(latest.values(), key=lambda r: (r[0], r[1]))[-activity.PASSPORT_RUNS:]
-        self._runs.update((seen, json.dumps(runs)))
+            runs = _latest(runs + _rows(batch), activity.PASSPORT_RUNS)
+        self.save((seen, runs))
         shapes = sorted({r[3] for r in runs})
         places: dict[str, set] = {}
         for r in runs:
@@ -47,32 +67,30 @@ class _Passport(StatefulProcessor):
                             "masters": [sum(len(v) == activity.ALL_SHAPES for k, v in places.items() if k)],
                             "complete": [len(shapes) == activity.ALL_SHAPES]})
 
-    def close(self) -> None:
-        pass
 
+class _Relay(_Kept):
+    """The first leg in time fixes a relay's shape; legs of other shapes are rejected, the last legs stay.
 
-class _Relay(StatefulProcessor):
-    """A relay keeps its first shape; other shapes are rejected, the last legs stay."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._legs = handle.getValueState("legs", "shape string, rejected long, legs string")
+    A leg that comes late may be the first one after all, so every shape keeps its
+    first leg, its number of legs and its last distinct courses: a few rows a user,
+    from which the answer is the same in whatever order legs arrive.
+    """
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = self._legs.get()
-        shape, rejected, legs = (kept[0], kept[1], json.loads(kept[2])) if kept else (None, 0, [])
-        batch = _ordered(rows, "ts", "completion_id")
-        for course, s in zip(batch["course_key"], batch["shape"]):
-            shape = shape or s
-            if s != shape:
-                rejected += 1
-                continue
-            legs = ([c for c in legs if c != int(course)] + [int(course)])[-activity.RELAY_LEGS:]
-        self._legs.update((shape, rejected, json.dumps(legs)))
-        yield pd.DataFrame({"user_id": [key[0]], "seen": [rejected + len(legs)], "shape": [shape], "legs": [len(legs)],
-                            "top_course": [max(legs)], "rejected": [rejected]})
-
-    def close(self) -> None:
-        pass
+        shapes = self.load({})
+        for batch in rows:
+            new: dict[str, list] = {}
+            for r in _rows(batch):
+                new.setdefault(r[3], []).append(r)
+            for shape, legs in new.items():
+                first, n, last = shapes.get(shape, (None, 0, []))
+                first = min([x for x in (first, *[r[:2] for r in legs]) if x])
+                shapes[shape] = (first, n + len(legs), _latest(last + legs, activity.RELAY_LEGS))
+        self.save(shapes)
+        seen = sum(n for _, n, _ in shapes.values())
+        shape, (_, n, legs) = min(shapes.items(), key=lambda s: s[1][0])
+        yield pd.DataFrame({"user_id": [key[0]], "seen": [seen], "shape": [shape], "legs": [len(legs)],
+                            "top_course": [max(r[2] for r in legs)], "rejected": [seen - n]})
 
 
 def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
@@ -81,10 +99,12 @@ def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema:
 
 
 def passports(completions: DataFrame) -> DataFrame:
+    """Updates of every user's passport."""
     return _stateful(completions, "user_id", _Passport(), "user_id long, seen long, runs long, shapes string, masters long, complete boolean", "Update")
 
 
 def relays(completions: DataFrame) -> DataFrame:
+    """Updates of every user's relay."""
     return _stateful(completions, "user_id", _Relay(), "user_id long, seen long, shape string, legs long, top_course long, rejected long", "Update")
 
 

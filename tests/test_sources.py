@@ -98,3 +98,18 @@ def test_missing_values_are_neutral(spark):
     got = row.select(score.edge_rfs().alias("s")).first().s
     want = 0.25 + 0.75 * (0.25 * 0.5 + 0.20 * (2 / 3) + 0.15 * 0.5 + 0.10 * 0.5 + 0.10 * 0.5)
     assert abs(got - want) < 1e-12
+
+
+def test_encoding_is_that_of_the_whole_file(spark, tmp_path):
+    """An ASCII header and first lines over a Korean body; a UTF-8 file with a mark; one that fits nothing."""
+    body = "".join(f"{i},{'plain' if i < 2000 else '서울숲 뚝섬'},\"a, b\"\r\n" for i in range(2003))
+    (tmp_path / "korean.csv").write_bytes(("id,name,note\r\n" + body).encode("cp949"))
+    got = files.read_csv(spark, f"{tmp_path}/korean.csv")
+    rows = got.collect()
+    assert got.columns == ["id", "name", "note"] and len(rows) == 2003
+    assert [r.name for r in rows if int(r.id) >= 1999] == ["plain"] + ["서울숲 뚝섬"] * 3 and {r.note for r in rows} == {"a, b"}
+    (tmp_path / "utf.csv").write_bytes("\ufeff위도,경도\n37.5,127.0\n".encode())
+    assert files.read_csv(spark, f"{tmp_path}/utf.csv").columns == ["위도", "경도"]
+    (tmp_path / "none.csv").write_bytes(b"a,b\n\xff\xff\xff,1\n")
+    with pytest.raises(ValueError):
+        files.read_csv(spark, f"{tmp_path}/none.csv")
