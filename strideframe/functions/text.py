@@ -17,7 +17,6 @@ ROAD_HINTS = {"테헤란로": "강남구"}
 NEIGHBOURHOOD_HINTS = {"신설동": "동대문구"}
 SEOUL_PREFIX = r"^서울(?:특별시|시)?"
 ADDRESS_LIKE = r"(?:[가-힣]+(?:동|가|로|길)\s*\d|(?:\d+-\d+)|\d+\s*번지)"
-ESCAPED = "\\`*_{}[]()<>#+-.!|"
 LABEL_CHARS = 120
 # ----------------------------------------------------------------------------
 

@@ -1,4 +1,4 @@
-"""Activity tables: passports, relays, facility merges, latency and throttling."""
+"""Activity tables: passports, relays, facility merges and latency."""
 
 from __future__ import annotations
 
@@ -81,17 +81,3 @@ def map_clusters(places: DataFrame) -> DataFrame:
     return (spread.groupBy(F.col("z.level").alias("level"), F.floor(F.col("lat") / F.col("z.size") + 0.5).alias("ci"),
                            F.floor(F.col("lon") / F.col("z.size") + 0.5).alias("cj"))
             .agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("places"), F.sum("courses").alias("courses")))
-
-
-def idle_sessions(log: DataFrame, gap_s: float) -> DataFrame:
-    """log (client_id, at_s, ...) plus session: a new one after at least gap_s without a request.
-
-    Sessions are cut on time slots of gap_s seconds, so the running numbering
-    sees one row per client and busy slot, however many requests those hold.
-    """
-    slot = F.floor(F.col("at_s") / gap_s)
-    slots = log.select("client_id", slot.alias("slot")).distinct()
-    w = Window.partitionBy("client_id").orderBy("slot")
-    fresh = F.when(F.col("slot") - F.lag("slot").over(w) > 1, 1).otherwise(0)
-    numbered = slots.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w)).drop("fresh")
-    return log.withColumn("slot", slot).join(numbered, ["client_id", "slot"]).drop("slot")
