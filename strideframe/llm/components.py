@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.session import cut
+from strideframe.session import cut, release
 
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def star_forest(links: DataFrame) -> DataFrame:
         least = _least_neighbour(large.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hung = least.select(F.col("u").alias("v"), F.col("m").alias("u"))
         moved = large.join(least.withColumnRenamed("u", "v"), "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        cur = cut(hung.unionByName(moved).distinct())
+        spent, cur = (cur, large), cut(hung.unionByName(moved).distinct())
+        release(*spent)
         if cur.join(cur.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and cur.groupBy("v").count().where("count > 1").isEmpty():
             return cur.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
